@@ -133,18 +133,13 @@ def read_ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))}
 
 
-def _free(df: DataFrame, *names: str) -> None:
-    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"columns {sorted(taken)} are there already; name the outputs otherwise")
-
-
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with ``ids_col`` array<int>: each match of ``pattern`` encoded by itself, no special tokens.
 
-    Null and empty texts give an empty array. Every other column, row and repetition is kept as it is; an output name
-    that is taken raises ValueError. Rows stay in their partitions. The rank table, of bounded size, is broadcast.
+    Null and empty texts give an empty array. Every other column, row and repetition is kept as it is; an input column
+    of the output's name is replaced. Rows stay in their partitions. The rank table, of bounded size, is broadcast.
     """
-    _free(docs, ids_col)
+    docs = docs.drop(ids_col)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
@@ -178,8 +173,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
 
 def decode(tokens: DataFrame, rank_file: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
-    """``tokens`` with ``bytes_col`` binary: the bytes of ``ids_col``. A null array gives empty bytes; an unknown id raises KeyError."""
-    _free(tokens, bytes_col)
+    """``tokens`` with ``bytes_col`` binary: the bytes of ``ids_col``. A null array gives empty bytes; an input column of
+    the output's name is replaced; an unknown id raises KeyError."""
+    tokens = tokens.drop(bytes_col)
     ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     at = tokens.columns.index(ids_col)
     schema = T.StructType([*tokens.schema.fields, T.StructField(bytes_col, T.BinaryType())])

@@ -4,23 +4,45 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, simhash
+from panelweave.llm import bpe, exact_dedup, line_dedup, mixing, simhash
 from panelweave.sources.tables import table
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.group_texts(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.withColumn("rate", F.round("rate", 9))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_poisson_mixing": op5_poisson_mixing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_poisson_mixing": mixing.ORACLE_SQL,
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
+}
