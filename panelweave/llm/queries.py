@@ -6,19 +6,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, exact_dedup, line_dedup, mixing, simhash
+from panelweave.llm import bpe, exact_dedup, langid, line_dedup, mixing, ordinal, outliers, simhash, url_filter
 from panelweave.sources.tables import table
 
 
+def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.is_held_out()))
+    found = langid.identify(docs.withColumn("_id", F.struct("doc_id", langid.is_held_out().alias("held_out"))), model, "_id")
+    return found.select("_id.doc_id", F.coalesce("_id.held_out", F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_texts(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.withColumn("rate", F.round("rate", 9))
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 of low quality, 2 neither; kept when more likely than not of grade 2."""
+    ratings = table(spark, sf_dir, "labels").withColumn("grade", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2))
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.grade_documents(docs, ordinal.fit(docs, ratings))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,8 +56,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mcd_outliers": op1_mcd_outliers,
+    "op2_language_mixture": op2_language_mixture,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_ordinal_quality": op6_ordinal_quality,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
