@@ -138,9 +138,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, columns as given: those with a letter, if the model has languages."""
-    at, schema = docs.columns.index(text_col), docs.schema
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.4, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` with a language whose share is ``least`` or more, columns as given; a null language is filled in.
+
+    Texts without a letter, null texts and texts without a leading language go.
+    """
+    at, lang, schema = docs.columns.index(text_col), docs.columns.index(lang_col), docs.schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +151,13 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(begin, BLOCK)
-                texts = part.column(at).to_pylist()
-                real = [bool(t and known.langs and any(map(str.isalpha, t))) for t in texts]
-                found = [t for t, r in zip(texts, real, strict=True) if r]
-                shares = iter(infer(known, found) if found else [])
-                kept = [r and float(next(shares).max()) > 0 for r in real]
-                yield part.filter(pa.array(kept, pa.bool_()))
+                texts, langs = part.column(at).to_pylist(), part.column(lang).to_pylist()
+                real = [i for i, t in enumerate(texts) if t and known.langs and any(map(str.isalpha, t))]
+                kept = [False] * len(texts)
+                for i, share in zip(real, infer(known, [texts[i] for i in real]) if real else [], strict=True):
+                    kept[i] = float(share.max()) >= least
+                    langs[i] = langs[i] if langs[i] is not None else known.langs[int(share.argmax())]
+                columns = [pa.array(langs, c.type) if k == lang else c for k, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
