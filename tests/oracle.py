@@ -19,7 +19,7 @@ def connect(sf_dir):
 
 def _plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 6) + 0.0
+        return "nan" if math.isnan(x) else round(x, 9) + 0.0
     if isinstance(x, (list, tuple)):
         return tuple(map(_plain, x))
     return x
