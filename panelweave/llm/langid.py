@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed byte trigrams; labelled documents learned from at most; additive smoothing.
+#: Hashed byte trigrams; labelled documents learned from, about; additive smoothing.
 BUCKETS, MAX_TRAIN, SMOOTHING = 1 << 14, 6000, 0.5
 #: Steps of expectation-maximisation, documents worked on at once, and the n-grams that count as one observation:
 #: neighbouring trigrams overlap in all but one byte.
@@ -38,13 +38,18 @@ def _buckets(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from text and non-null language of at most ``MAX_TRAIN`` documents, those first by a hash of their id.
+    """Learn from text and non-null language of about ``MAX_TRAIN`` documents, an even sample by a hash of id and text.
 
-    Counts are summed per language on Spark; only a row for each language comes to the driver. Without a usable row
-    there are no languages, and every document is unknown.
+    The sample is the share of rows whose hash lies under a bound set by the number of labelled documents: no sorting,
+    and texts stay where they are read until counts are summed per language on Spark. Only rows of counts come to the
+    driver. Without a usable row there are no languages, and every document is unknown.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    some = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(MAX_TRAIN)
+    usable = docs.where(F.col(lang_col).isNotNull())
+    bound = min(1.0, MAX_TRAIN / max(1, usable.count()))
+    h = F.xxhash64(id_col, text_col)
+    under = F.pmod(h, F.lit(1 << 30)) < int(bound * (1 << 30))
+    some = usable.where(under & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
+    some = some.dropDuplicates(["lang", "h"])  # rows that repeat count once, so the sample stays small
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS, np.int64)

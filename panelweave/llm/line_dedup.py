@@ -206,7 +206,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : n], pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return plain.withColumn(text_col, F.col(text_col).cast("string")).join(dropped, own_id == F.col("_id"), "left").drop("_id").mapInArrow(run, schema)
+    by_place = plain.withColumn(text_col, F.col(text_col).cast("string")).toDF(*[f"c{k}" for k in range(n)])  # names cannot clash
+    beside = by_place.withColumn("_id", F.coalesce(F.col(f"c{plain.columns.index(id_col)}").cast("long"), F.lit(_NULL_ID)))
+    return beside.join(dropped, "_id", "left").drop("_id").mapInArrow(run, schema)
 
 
 ORACLE_SQL = """

@@ -59,20 +59,21 @@ def replicate(
     """
     plain = docs.drop(*ADDED)
     rates = source_rates(docs, weights, target_rows, source_col).select(F.col("source").alias("_source"), "rate", _cdf(F.col("rate")).alias("_cdf"))
-    same = plain[source_col].eqNullSafe(F.col("_source"))
+    own = [f"c{k}" for k in range(len(plain.columns))]  # by place, so that names cannot clash
+    rows = plain.toDF(*own)
+    an_id, source = (F.col(own[plain.columns.index(c)]) for c in (id_col, source_col))
+    same = source.eqNullSafe(F.col("_source"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rated = plain.join(F.broadcast(rates), same)
+        rated = rows.join(F.broadcast(rates), same)
     else:
         salted = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        rated = plain.join(salted, same & (F.pmod(F.xxhash64(plain[id_col]), F.lit(SALTS)).cast("int") == F.col("_salt"))).drop("_salt")
-    uniform = _bits(13, F.lit(seed), F.col(id_col)) / F.lit(float(1 << 52))
+        rated = rows.join(salted, same & (F.pmod(F.xxhash64(an_id), F.lit(SALTS)).cast("int") == F.col("_salt"))).drop("_salt")
+    uniform = _bits(13, F.lit(seed), an_id) / F.lit(float(1 << 52))
     drawn = rated.withColumn("_u", uniform).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("long"))
-    copies = drawn.where("n_copies > 0").select(
-        *[plain[c] for c in plain.columns], "rate", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no")
-    )
-    keyed = copies.withColumn("shuffle_key", _bits(15, F.lit(seed), F.col(id_col), F.col("copy_no")))
+    copies = drawn.where("n_copies > 0").select(*own, "rate", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
+    keyed = copies.withColumn("shuffle_key", _bits(15, F.lit(seed), an_id, F.col("copy_no")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key").toDF(*plain.columns, *ADDED)
 
 
 ORACLE_SQL = """

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed features; rated documents learned from at most; full-batch steps, step size, ridge.
+#: Hashed features; rated documents learned from, about; full-batch steps, step size, ridge.
 DIMS, MAX_TRAIN, STEPS, RATE, RIDGE = 1 << 16, 8000, 200, 0.05, 2e-3
 #: Features in fewer of the documents learned from keep weight zero.
 MIN_DOCS = 8
@@ -96,15 +96,16 @@ def fit_rows(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grade
 
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: Column | str = "grade") -> Model:
-    """Learn from the documents of ``ratings`` (id_col, grade 0, 1, ...), at most ``MAX_TRAIN``, first by a hash of the id.
+    """Learn from the documents of ``ratings`` (id_col, grade 0, 1, ...), about ``MAX_TRAIN``, an even sample by a hash of the id.
 
     Null grades and documents without a rating are left out, and a document with several counts with the least. Text is
     hashed on Spark; the driver gets the bounded sample's sparse features. Without two grades the weights are zero.
     """
     rated = ratings.select(F.col(id_col).alias("id"), (F.col(grade) if isinstance(grade, str) else grade).cast("int").alias("grade"))
     rated = rated.where("id IS NOT NULL AND grade >= 0").groupBy("id").agg(F.min("grade").alias("grade"))
-    some = rated.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAIN)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id")
+    bound = min(1.0, MAX_TRAIN / max(1, rated.count()))
+    some = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(bound * (1 << 30)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id").dropDuplicates(["id"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets = _Buckets()
