@@ -1,0 +1,234 @@
+"""Hand-computed cases and properties of single operators."""
+
+import math
+import random
+from collections import deque
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelweave.operators import composite, derive, events, network, spatial, standardize, surrogate, sync
+
+
+def series(spark, values, node=1, name="value"):
+    rows = [(node, t, None if v is None else float(v)) for t, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"node_id long, t int, {name} double")
+
+
+def onsets(spark, days):
+    rows = [(node, k + 1, t, t) for node, own in days.items() for k, t in enumerate(own)]
+    return spark.createDataFrame(rows, "node_id long, seq int, start_t int, end_t int")
+
+
+@pytest.mark.parametrize("duration,want", [(5, [(3, 8)]), (6, [])])
+def test_runs_need_a_day_more_than_their_duration(spark, duration, want):
+    x = series(spark, [0, 0, 0, -2, -2, -2, -2, -2, -2, 0, -2], name="z")
+    assert [(r.start_t, r.end_t) for r in events.runs_below(x, -1.0, duration).collect()] == want
+
+
+@pytest.mark.parametrize("values,want", [([1, 1, 1, 1, 1], [None, None, 2, 2, 2]), ([1, None, None, None, 4], [None, None, None, None, 4])])
+def test_accumulation_starts_late_and_skips_gaps(spark, values, want):
+    got = standardize.rolling_accumulation(series(spark, values), 2).orderBy("t").collect()
+    assert [r.acc for r in got] == want
+
+
+def walk(x, m, change, final):
+    """The rapid-onset events of one series, a day at a time."""
+    out, t = [], 0
+    while t + m + 1 < len(x):
+        window = x[t : t + m]
+        if None not in window and x[t + m] is not None and x[t + m] - x[t] <= change and min(window) <= final:
+            start = next(k for k in range(t, t + m) if x[k] <= final)
+            end = start
+            while end + 1 < len(x) and x[end + 1] is not None and x[end + 1] <= final:
+                end += 1
+            out.append((start, end))
+            t = end + 1
+        else:
+            t += 1
+    return out
+
+
+def test_rapid_onsets_equal_a_walk(spark):
+    rng = random.Random(1)
+    rows, want = [], {}
+    for node in range(150):
+        x = [None if rng.random() < 0.03 else round(rng.gauss(-0.5, 1.2), 1) for _ in range(rng.randint(3, 60))]
+        rows += [(node, t, v) for t, v in enumerate(x)]
+        if found := walk(x, 3, -1.0, -1.0):
+            want[node] = found
+    panel = spark.createDataFrame(rows, "node_id long, t int, z double")
+    got = {}
+    for r in events.rapid_onsets(panel, 3, -1.0, -1.0).orderBy("node_id", "seq").collect():
+        got.setdefault(r.node_id, []).append((r.start_t, r.end_t))
+    assert got == want and len(want) > 50
+
+
+def test_rapid_onset_may_start_inside_a_stretch(spark):
+    got = events.rapid_onsets(series(spark, [-1, -1, -1, -2, 0, 0], name="z"), 2, -1.0, -1.0).collect()
+    assert [(r.start_t, r.end_t) for r in got] == [(1, 3)]
+    assert not events.rapid_onsets(series(spark, [-1, -3, -3], name="z"), 2, -1.0, -1.0).collect()
+
+
+def test_synchronization_skips_first_events(spark):
+    pairs = sync.strength(sync.sync_pairs(onsets(spark, {1: [0, 10, 20], 2: [0, 8, 20]}), 5)).first()
+    assert (pairs.j_j2i, pairs.j_i2j) == (1.5, 0.5)
+    assert pairs.q_strength == pytest.approx(2 / 3) and pairs.q_asym == pytest.approx(1 / 3)
+
+
+def test_synchronization_is_strict_at_tau_and_keeps_zero_pairs(spark):
+    days = onsets(spark, {1: [0, 20, 100], 2: [0, 15, 200], 3: [5, 500, 900], 4: [1, 2]})
+    by_pair = {(r.i, r.j): (r.j_j2i, r.j_i2j) for r in sync.sync_pairs(days, 5).collect()}
+    assert by_pair == {(1, 2): (0, 0), (1, 3): (0, 0), (2, 3): (0, 0)}
+    assert {(r.i, r.j): r.j_j2i for r in sync.sync_pairs(days, 6).collect()}[1, 2] == 1
+
+
+@pytest.mark.parametrize("tau", [1, 4, 17])
+def test_bucketed_pairs_equal_the_plain_count(spark, tau):
+    rng = random.Random(tau)
+    days = {n: sorted(rng.sample(range(150), rng.randint(3, 25))) for n in range(12)}
+    got = {(r.i, r.j): (r.j_j2i, r.j_i2j) for r in sync.sync_pairs(onsets(spark, days), tau).collect()}
+    for i in range(12):
+        for j in range(i + 1, 12):
+            d = [a - b for a in days[i][1:] for b in days[j][1:]]
+            half = d.count(0) / 2
+            assert got[i, j] == (half + sum(0 < x < tau for x in d), half + sum(-tau < x < 0 for x in d))
+
+
+def test_draws_equal_the_generator_step_by_step(spark):
+    pairs = spark.createDataFrame([(1, 2, 3, 7), (1, 3, 7, 3), (2, 3, 4, 4)], "i long, j long, ni long, nj long")
+    combos = surrogate.combinations(pairs)
+    assert sorted((r.ni, r.nj, r.c) for r in combos.collect()) == [(3, 7, 1), (4, 4, 2)]
+    got = {}
+    for r in surrogate.draws(combos, 1000, 3).orderBy("k").collect():
+        got.setdefault((r.c, r.s, r.side), []).append(r.day)
+    for (c, s, side), days in got.items():
+        x, y = (2654435769, 2246822519) if side == "i" else (2246822519, 2654435769)
+        state = (((c * x) ^ (s * y)) & 0x7FFFFFFF) * 1103515245 + 12345
+        want = []
+        for _ in days:
+            state = (state % 2**31) * 1103515245 + 12345
+            want.append(state % 2**31 % 1000)
+        assert days == want
+    assert len(got) == 12
+
+
+def edges(spark, rows):
+    return spark.createDataFrame([(i, j, q, a, True, a != 0) for i, j, q, a in rows], "i long, j long, q_strength double, q_asym double, sig_strength boolean, sig_asym boolean")
+
+
+def grid(spark, n, width):
+    return spark.range(n).selectExpr("id AS node_id", f"cast(id div {width} AS int) lat_idx", f"cast(id % {width} AS int) lon_idx", f"20 + (id div {width}) * 0.25D lat", f"100 + (id % {width}) * 0.25D lon")
+
+
+def test_metrics_count_all_cells(spark):
+    cells, one = grid(spark, 4, 2), edges(spark, [(0, 1, 0.5, -0.2)])
+    assert sorted((r.node_id, round(r.dc, 6)) for r in network.degree(one, cells).collect()) == [(0, 0.333333), (1, 0.333333), (2, 0), (3, 0)]
+    nd = {r.node_id: r.nd for r in network.divergence(one, cells).collect()}
+    assert nd == {0: -1, 1: 1, 2: 0, 3: 0} and sum(nd.values()) == 0
+    nd_w = {r.node_id: r.nd_w for r in network.weighted_divergence(one, cells).collect()}
+    assert nd_w[0] == pytest.approx(-0.2) and sum(nd_w.values()) == pytest.approx(0)
+    far = {r.node_id: r for r in network.mean_distance(one, cells).collect()}
+    assert far[0].msd == pytest.approx(26.12, abs=0.05) and far[2].msd == 0
+
+
+def brandes(links, n, sources):
+    out = dict.fromkeys(range(n), 0.0)
+    for s in sources:
+        dist, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in links[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0.0
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in links[w]:
+                if dist[v] == dist[w] - 1:
+                    delta[v] += paths[v] / paths[w] * (1 + delta[w])
+            if w != s:
+                out[w] += delta[w]
+    return out
+
+
+@pytest.mark.parametrize("sample", [None, 4])
+def test_betweenness_equals_a_queue(spark, sample):
+    rng, n = random.Random(3), 14
+    pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(18)}
+    links = {v: [b if a == v else a for a, b in pairs if v in (a, b)] for v in range(n)}
+    cells = grid(spark, n, 4)
+    got = {r.node_id: r.bc for r in network.betweenness(edges(spark, [(i, j, 1.0, 0.1) for i, j in pairs]), cells, sample).collect()}
+    sources = range(n) if sample is None else [r.node_id for r in network.sampled_sources(cells, sample).collect()]
+    want = brandes(links, n, sources)
+    scale = (1 if sample is None else n / len(list(sources))) / ((n - 1) * (n - 2))
+    assert got == {v: pytest.approx(x * scale) for v, x in want.items()}
+    assert len(list(sources)) == (n if sample is None else 4)
+
+
+def test_gi_star_weights_and_constant_fields(spark):
+    cells = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (2, 1, 0), (9, 5, 5)], "node_id long, lat_idx int, lon_idx int")
+    weights = {}
+    for r in spatial.queen_weights(cells).collect():
+        weights.setdefault(r.i, []).append(r.weight)
+    assert weights == {0: [0.5, 0.5], 1: [0.5, 0.5], 2: [0.5, 0.5]}
+    x = {0: 1.0, 1: 2.0, 2: 6.0, 9: 3.0}
+    values = spark.createDataFrame(list(x.items()), "node_id long, x double")
+    got = {r.node_id: r.z for r in spatial.gi_star(values, cells).collect()}
+    mean, sd = 3.0, math.sqrt(3.5)
+    assert got[9] == pytest.approx((3 - mean) / (sd * math.sqrt((4 - 1) / 3)), abs=1e-9)
+    assert got[0] == pytest.approx((1 / 2 + 2 / 4 + 6 / 4 - mean) / (sd * math.sqrt((4 * (1 / 4 + 2 / 16) - 1) / 3)))
+    flat = spatial.gi_star(values.withColumn("x", F.lit(2.0)), cells)
+    assert {r.z for r in flat.collect()} == {None}
+
+
+def test_clusters_touch_at_corners_and_links_have_a_sign(spark):
+    cells = grid(spark, 36, 6)
+    hot = spark.createDataFrame([(0, "source"), (7, "source"), (14, "source"), (35, "source"), (5, "sink"), (10, "sink")], "node_id long, kind string")
+    members = spatial.cluster_members(hot, cells)
+    assert {(r.node_id, r.cluster_id) for r in members.collect()} == {(0, 0), (7, 0), (14, 0), (35, 35), (5, 5), (10, 5)}
+    kept = spatial.clusters(members, cells, 2 / 36)
+    assert {(r.cluster_id, r.pixels) for r in kept.collect()} == {(0, 3), (5, 2)}
+    links = spark.createDataFrame([(0, 5, 1), (0, 10, 1), (5, 7, 1), (10, 14, -1)], "i long, j long, sign int")
+    plus, minus = (spatial.flux_ratios(members, kept, links, s).collect() for s in (1, -1))
+    assert [(r.src, r.snk, round(r.ratio, 4)) for r in plus] == [(0, 5, 0.6667)]
+    assert [(r.src, r.snk, round(r.ratio, 4)) for r in minus] == [(0, 5, 0.3333)]
+    path = spatial.best_pathway(spatial.flux_ratios(members, kept, links), kept, 0.6, 0.01, 36)
+    assert (path.first().pair_id, path.first().src, path.first().snk) == (1, 0, 5)
+    labels = {r.node_id: r.label for r in spatial.region_labels(path, members).collect()}
+    assert labels == {0: 1, 7: 1, 14: 1, 5: -1, 10: -1}
+
+
+@pytest.mark.parametrize("aics,want", [([10, 8.5, 11, 11, 11], 0), ([10, 7.5, 11, 11, 11], 1), ([10, 7.5, 7.5, None, None], 1), ([None] * 5, -1), ([None, 3.0, None, None, 2.0], 4)])
+def test_gamma_is_preferred_unless_clearly_worse(spark, aics, want):
+    rows = [(1, k, None if a is None else float(a)) for k, a in enumerate(aics)]
+    assert standardize.conservative_best(spark.createDataFrame(rows, "node_id long, dist_id int, aic double")).first().dist_id == want
+
+
+def test_smoothing_is_shorter_at_the_ends(spark):
+    rows = [("v", "r", lag, float(x), float(x)) for lag, x in ((-1, 1), (0, 2), (1, 3))]
+    frame = spark.createDataFrame(rows, "variable string, region string, lag int, mean_anomaly double, standard_error double")
+    assert [r.mean_anomaly for r in composite.smoothed(frame, 3).orderBy("lag").collect()] == [1.5, 2.0, 2.5]
+
+
+def test_nearest_takes_the_first_of_equals(spark):
+    axis = [(0, 20.0), (1, 20.5), (2, 21.0)]
+    got = spark.createDataFrame([(20.25,), (20.3,), (99.0,)], "v double").select(composite.nearest(axis, F.col("v")).alias("i")).collect()
+    assert [r.i for r in got] == [0, 1, 2]
+
+
+def test_distances_agree_and_derived_values(spark):
+    one = spark.range(1)
+    args = [F.lit(x) for x in (100.0, 20.0, 101.0, 21.0)]
+    row = one.select(derive.haversine_atan(*args).alias("a"), derive.haversine_asin(*args).alias("b"), derive.saturation_vapour_pressure(F.lit(20.0)).alias("e"), derive.bowen_ratio(F.lit(1.0), F.lit(0.0)).alias("n")).first()
+    assert row.a == pytest.approx(row.b) and row.a == pytest.approx(152.4, abs=0.5) and row.e == pytest.approx(2.338, abs=0.001) and row.n is None
+    assert one.select(derive.haversine_asin(F.lit(0.0), F.lit(0.0), F.lit(180.0), F.lit(0.0)).alias("d")).first().d == pytest.approx(math.pi * 6371)
+
+
+def test_polygon_parity(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
+    points = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.9, 3.0), (5.0, 1.0), (2.0, 0.5)], "x double, y double")
+    assert [r.m for r in points.select(spatial.inside_polygon(F.col("x"), F.col("y"), ring).alias("m")).collect()] == [True, False, True, False, True]
