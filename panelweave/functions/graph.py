@@ -37,8 +37,8 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     only aggregated and joined, never gathered into one value. Each round writes its edge list to the shared folder, and
     the rounds end when a round leaves the list as it was; their number grows with the logarithm of the node count.
     """
-    given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    now = materialize(given.where("u <> v").distinct(), "edges")
+    given = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct(), "given-edges")
+    now = given.where("u <> v")
     before = None
     for _ in range(_MAX_ROUNDS):
         if (state := _state(now)) == before:
