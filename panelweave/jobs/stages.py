@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.config import BASELINE, N_SURROGATES, SEASONS
+from panelweave.config import (
+    BASELINE,
+    GI_P,
+    GI_Z,
+    LEAD_LAG_WINDOWS,
+    MIN_CLUSTER_FRACTION,
+    MIN_FLUX_RATIO,
+    MIN_TOTAL_FRACTION,
+    N_SURROGATES,
+    SEASONS,
+    SMOOTHING_WINDOWS,
+)
 from panelweave.functions.lineage import materialize
-from panelweave.operators import events, fitting, network, standardize, surrogate, sync
+from panelweave.operators import composite, derive, events, fitting, network, spatial, standardize, surrogate, sync
 from panelweave.sources.sinks import read_stage, write_case, write_summary
 
 
@@ -28,6 +42,25 @@ def extract(series: DataFrame, scale: int, threshold: float | None = None) -> Da
     return events.runs_below(series, threshold or b["threshold"], b["duration"], "spi")
 
 
+def cached_critical(pairs: DataFrame, lengths: DataFrame, tau: int, surrogates: int, by: tuple[str, ...], root: str) -> DataFrame:
+    """Critical values, read from ``root`` if they were made before for the same combinations and parameters, else made and kept.
+
+    The tag is a digest over order-free sums of the combinations' and lengths' hashes; only sums reach the driver.
+    """
+    spark = pairs.sparkSession
+    sums = []
+    for part in (surrogate.combinations(pairs, by), lengths):
+        row_hash = F.xxhash64(*sorted(part.columns)).cast("decimal(20,0)")
+        sums.append(tuple(part.agg(F.count("*"), F.sum(row_hash)).first()))
+    tag = hashlib.sha256(repr((sums, tau, surrogates, by)).encode()).hexdigest()[:20]
+    path = f"{root}/{tag}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # not made yet
+        surrogate.critical_values(pairs, lengths, tau, surrogates, by).write.parquet(path)
+        return spark.read.parquet(path)
+
+
 def link_events(spark: SparkSession, root: str, scale: int, grid: DataFrame, axis: DataFrame, surrogates: int = N_SURROGATES, least_nodes: int = 10) -> DataFrame:
     """Networks of all seasons of one scale, in one plan keyed by season; metrics and edges go under ``root``.
 
@@ -41,7 +74,7 @@ def link_events(spark: SparkSession, root: str, scale: int, grid: DataFrame, axi
     kept = seasonal.join(F.broadcast(enough), "season", "left_semi")  # five seasons
     by, tau = ("season",), BASELINE[scale]["tau"]
     pairs = materialize(sync.strength(sync.sync_pairs(kept, tau, by)), "pairs")
-    critical = surrogate.critical_values(pairs, events.season_lengths(days, SEASONS), tau, surrogates, by)
+    critical = cached_critical(pairs, events.season_lengths(days, SEASONS), tau, surrogates, by, f"{root}/critical")
     edges = materialize(surrogate.significant_edges(pairs, critical, by), "edges")
     write_case(edges, f"{root}/edges", scale=scale)
     for season in [r.season for r in enough.collect()]:  # five at most
@@ -52,3 +85,35 @@ def link_events(spark: SparkSession, root: str, scale: int, grid: DataFrame, axi
     summary = network.summary(edges, counts.join(F.broadcast(enough), "season", "left_semi"), by).withColumn("scale", F.lit(scale)).withColumn("tau", F.lit(tau))
     write_summary(summary, f"{root}/network_summary/scale={scale}")
     return summary
+
+
+def find_pathway(
+    spark: SparkSession, root: str, scale: int, season: str, grid: DataFrame, z: float = GI_Z, p: float = GI_P, cluster: float = MIN_CLUSTER_FRACTION,
+    ratio: float = MIN_FLUX_RATIO, total: float = MIN_TOTAL_FRACTION, flux_sign: int = 1,
+) -> DataFrame:
+    """Source regions that share the best sink of one network; cell labels go under ``root``/regions. Returns a row for each pair."""
+    nd = read_stage(spark, f"{root}/metrics", scale=scale, season=season).select("node_id", F.col("nd").cast("double").alias("x"))
+    members = materialize(spatial.cluster_members(spatial.hot_cells(spatial.gi_star(nd, grid), z, p), grid), "members")
+    kept = materialize(spatial.clusters(members, grid, cluster), "clusters")
+    links = read_stage(spark, f"{root}/edges", scale=scale).where((F.col("season") == season) & F.col("sig_asym"))
+    flux = spatial.flux_ratios(members, kept, links.select("i", "j", F.signum("q_asym").cast("int").alias("sign")), flux_sign)
+    path = materialize(spatial.best_pathway(flux, kept, ratio, total, grid.count()), "pathway")
+    write_case(spatial.region_labels(path, members), f"{root}/regions", scale=scale, season=season)
+    km = derive.haversine_atan(F.col("src_lon"), F.col("src_lat"), F.col("snk_lon"), F.col("snk_lat"))
+    return path.select("pair_id", "flux_ratio", km.alias("distance_km"), F.col("src_pixels").alias("source_pixels"), F.col("snk_pixels").alias("sink_pixels"))
+
+
+def composite_case(
+    spark: SparkSession, root: str, scale: int, season: str, variables: DataFrame, axis: DataFrame, onsets: DataFrame, days: int, lags: tuple[int, int] | None = None, width: int | None = None
+) -> DataFrame:
+    """Lead-lag composites of (variable, node_id, t, value) over the source and sink cells of a pathway.
+
+    Onsets anywhere in the source align both regions, whose cells come from ``root``/regions.
+    """
+    lag_min, lag_max = lags or LEAD_LAG_WINDOWS[scale]
+    labels = read_stage(spark, f"{root}/regions", scale=scale, season=season)
+    regions = labels.select("node_id", F.when(F.col("label") > 0, "source").otherwise("sink").alias("region"))
+    anomaly = composite.anomalies(variables.join(regions.select("node_id"), "node_id", "left_semi"), axis, ("variable", "node_id"))
+    starts = materialize(composite.onset_days(onsets, regions, "source", lag_min, lag_max, days), "starts")
+    windows = composite.event_windows(composite.regional_means(anomaly, regions), starts, lag_min, lag_max)
+    return composite.smoothed(composite.composite(windows, starts), width or SMOOTHING_WINDOWS[scale])

@@ -52,9 +52,32 @@ def test_from_panel_to_networks(spark, tmp_path, monkeypatch):
     assert "annual" in summary and set(summary) <= set(SEASONS) and summary["annual"].valid_nodes == nodes
     metrics = sinks.read_stage(spark, f"{root}/metrics", scale=30, season="annual")
     assert metrics.count() == nodes and metrics.agg(F.sum("nd")).first()[0] == 0
+    again = stages.link_events(spark, root, 30, cells, axis, surrogates=20, least_nodes=10)
+    assert {r.season: r for r in again.collect()} == summary and len(list((tmp_path / "run" / "critical").glob("[0-9a-f]*"))) == 1
     assert metrics.agg(F.sum("dc")).first()[0] == pytest.approx(2 * summary["annual"].undirected_edges / (nodes - 1))
 
 
+def test_from_network_to_composites(spark, tmp_path):
+    root, n = f"file://{tmp_path}/run", 36
+    cells = panel.with_coordinates(spark.range(n).withColumnRenamed("id", "node_id"), 6)
+    low, high = (0, 1, 6, 7), (28, 29, 34, 35)
+    rows = [(k, -9 if k in low else 9 if k in high else 0) for k in range(n)]
+    sinks.write_case(spark.createDataFrame(rows, "node_id long, nd long"), f"{root}/metrics", scale=30, season="annual")
+    edges = [("annual", a, b, 0.5, 0.5 if a != 7 else -0.5, True, True) for a in low for b in high]
+    sinks.write_case(spark.createDataFrame(edges, "season string, i long, j long, q_strength double, q_asym double, sig_strength boolean, sig_asym boolean"), f"{root}/edges", scale=30)
+    path = stages.find_pathway(spark, root, 30, "annual", cells).collect()
+    assert [(r.pair_id, r.source_pixels, r.sink_pixels, r.flux_ratio) for r in path] == [(1, 4, 4, 0.75)]
+    labels = {r.node_id: r.label for r in sinks.read_stage(spark, f"{root}/regions", scale=30).collect()}
+    assert labels == dict.fromkeys(low, 1) | dict.fromkeys(high, -1)
+    days = 60
+    twice = spark.range(2 * days).select(F.col("id").cast("int").alias("t"), (F.col("id") % days + 1).cast("int").alias("doy"))
+    values = [("v", k, t, 1.0 if t in (22, 42) and k in low else 0.0) for k in range(n) for t in range(2 * days)]
+    onsets = spark.createDataFrame([(0, 1, 20, 25), (6, 1, 20, 21), (7, 1, 40, 41), (28, 1, 30, 31), (1, 1, 1, 2)], "node_id long, seq int, start_t int, end_t int")
+    out = stages.composite_case(spark, root, 30, "annual", spark.createDataFrame(values, "variable string, node_id long, t int, value double"), twice, onsets, 2 * days, (-3, 3), 1)
+    got = {(r.region, r.lag): (r.mean_anomaly, r.standard_error, r.n_events) for r in out.collect()}
+    assert len(got) == 14 and got["source", 2] == (0.5, 0.0, 2) and got["sink", 2] == (0.0, 0.0, 2) and got["source", 0][0] == 0.0
+
+
 def test_stream_of_records_sums_closed_days(spark, tmp_path):
     day = lambda d, h: datetime.datetime(2024, 1, d, h)
     batches = [[(1, day(1, 3), 2.0), (1, day(1, 9), 3.0), (2, day(2, 1), 1.0)], [(1, day(1, 20), 4.0), (1, day(9, 0), 5.0)], [(2, day(20, 0), 7.0)], [(1, day(1, 5), 100.0)]]
