@@ -221,7 +221,7 @@ def _flux(spark, sf_dir):
     members = _members(spark, sf_dir, cells)
     kept = materialize(spatial.clusters(members, cells, P.cluster_fraction), "clusters")
     wanted = members.join(kept, ["kind", "cluster_id"], "left_semi").select("node_id")
-    panel = src.part_panel(spark, sf_dir).join(F.broadcast(wanted), "node_id", "left_semi")  # cells of a grid
+    panel = src.part_panel(spark, sf_dir).join(wanted, "node_id", "left_semi")
     scores = standardize.log_scores(standardize.rolling_accumulation(panel, P.scale))
     onsets = materialize(events.runs_below(events.after_burn_in(scores), P.threshold, P.duration), "onsets")
     sign = F.signum(F.col("jj_j2i") - F.col("jj_i2j")).cast("int")

@@ -64,10 +64,13 @@ def conservative_best(aics: DataFrame, switch: float = 2.0) -> DataFrame:
 
 
 def log_scores(acc: DataFrame, digits: int = 6) -> DataFrame:
-    """(node_id, t, z): standardized logarithm, rounded, of positive values; the lognormal index of a record without zeros."""
+    """(node_id, t, z): standardized logarithm, rounded, of positive values; the lognormal index of a record without zeros.
+
+    The moments are grouped by the key that the accumulation's window is partitioned by, so the join shuffles nothing.
+    """
     moments = positive_moments(acc).select("node_id", "mean_log", "sd_log")
     x = F.when(F.col("acc") > 0, F.log("acc"))
-    return acc.join(F.broadcast(moments), "node_id", "left").select("node_id", "t", F.round((x - F.col("mean_log")) / F.col("sd_log"), digits).alias("z"))
+    return acc.join(moments, "node_id", "left").select("node_id", "t", F.round((x - F.col("mean_log")) / F.col("sd_log"), digits).alias("z"))
 
 
 def lognormal_goodness(acc: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def lognormal_goodness(acc: DataFrame) -> DataFrame:
     moments = positive_moments(acc)
     by_node = Window.partitionBy("node_id").orderBy("acc", "t")
     back = Window.partitionBy("node_id").orderBy(F.desc("acc"), F.desc("t"))
-    ranked = acc.where(F.col("acc") > 0).withColumn("i", F.row_number().over(by_node)).withColumn("back", F.row_number().over(back)).join(F.broadcast(moments), "node_id")
+    ranked = acc.where(F.col("acc") > 0).withColumn("i", F.row_number().over(by_node)).withColumn("back", F.row_number().over(back)).join(moments, "node_id")
     cdf = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), normal_cdf((F.log("acc") - F.col("mean_log")) / F.col("sd_log"))))
     scored = ranked.withColumn("f", cdf).withColumn("q", F.exp(F.col("mean_log") + F.col("sd_log") * normal_ppf((F.col("i") - 0.3175) / (F.col("n") + 0.365))))
     # the pair of ln F_i and ln(1 - F_{n+1-i}) has weight 2i - 1: row by row, F has 2i - 1 and 1 - F has 2(n+1-i) - 1
