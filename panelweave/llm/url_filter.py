@@ -69,12 +69,12 @@ def fit(labelled: DataFrame, dims: int = DIMS) -> tuple[list[float], float]:
     weights are a combination of the labelled URLs' feature vectors, whose coefficients take gradient steps over their
     table of inner products. An empty table gives weights and intercept zero.
     """
+    if (n := labelled.limit(MAX_LABELLED + 1).count()) > MAX_LABELLED:
+        raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
     rows = with_parts(labelled.select("url", F.col("blocked").cast("double").alias("y")).where("y IS NOT NULL"))
     one = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("url", "y"))
     rows = materialize(rows.select((one - 1).alias("k"), "y", _buckets(dims).alias("buckets")), "labelled-urls")
-    if (n := rows.count()) > MAX_LABELLED:
-        raise ValueError(f"{n} labelled URLs; at most {MAX_LABELLED}")
-    if not n:
+    if not (n := rows.count()):
         return [0.0] * dims, 0.0
     values = rows.select("k", F.size("buckets").alias("n"), F.explode("buckets").alias("bucket")).groupBy("k", "bucket").agg((F.count("*") / F.sqrt(F.max("n"))).alias("x"))
     values = materialize(values, "url-features")
