@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces up to so many bytes are merged directly; longer ones are halved.
-LEAF_BYTES = 24
-#: Pieces whose ids a Python worker remembers, and their greatest length in characters.
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
+#: Pieces up to so many bytes are merged directly; longer ones are halved. Parts up to so many bytes are remembered.
+LEAF_BYTES, PART_BYTES = 4, 10
+#: Pieces whose ids a Python worker remembers, and their greatest length in characters; parts and pairs it remembers.
+CACHE_PIECES, CACHE_CHARS, CACHE_PARTS = 200_000, 48, 50_000
 #: Rows of an output batch hold about so many ids at most.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1_000_000
 
 
 class TreeBPE:
@@ -33,7 +33,8 @@ class TreeBPE:
     def __init__(self, ranks: dict[bytes, int], leaf_bytes: int = LEAF_BYTES):
         self.ranks, self.leaf = ranks, max(2, leaf_bytes)
         self.table = {i: b for b, i in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], list[int]] = {}
+        self._parts: dict[bytes, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Merge the adjacent parts of least rank, leftmost first, until none is in the table."""
@@ -42,17 +43,17 @@ class TreeBPE:
             return [ranks[data]]
         if len(data) > 64:
             return self._merge_long(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        near = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-        while near and (least := min(near)) < 1 << 60:
+        never, look = 1 << 60, ranks.get
+        cuts = list(range(len(data) + 1))
+        near = [look(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while near and (least := min(near)) != never:
             i = near.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del near[i]
+            del cuts[i + 1], near[i]
             if i:
-                near[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+                near[i - 1] = look(data[cuts[i - 1] : cuts[i + 1]], never)
             if i < len(near):
-                near[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-        return [ranks[p] for p in parts]
+                near[i] = look(data[cuts[i] : cuts[i + 2]], never)
+        return [ranks[data[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same with a heap over a linked list, for windows that grow long."""
@@ -77,33 +78,43 @@ class TreeBPE:
             i = end[i]
         return out
 
-    def stands(self, a: int, b: int) -> bool:
-        """Whether two neighbouring ids are the encoding of their joint bytes."""
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of the joint bytes of two ids, remembered up to a bound."""
         if (known := self._pairs.get((a, b))) is None:
-            known = self.merge(self.table[a] + self.table[b]) == [a, b]
-            if len(self._pairs) < CACHE_PIECES:
+            known = self.merge(self.table[a] + self.table[b])
+            if len(self._pairs) < CACHE_PARTS:
                 self._pairs[a, b] = known
         return known
 
+    def stands(self, a: int, b: int) -> bool:
+        """Whether two neighbouring ids are the encoding of their joint bytes."""
+        return self.pair(a, b) == [a, b]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
             return left + right
         i = j = 1
+        window = self.pair(left[-1], right[0])
         while True:
-            i, j = min(i, len(left)), min(j, len(right))
-            window = self.merge(b"".join(map(self.table.__getitem__, left[len(left) - i :] + right[:j])))
             fits_left = i == len(left) or self.stands(left[-i - 1], window[0])
             fits_right = j == len(right) or self.stands(window[-1], right[j])
             if fits_left and fits_right:
                 return left[: len(left) - i] + window + right[j:]
-            i, j = (i if fits_left else 2 * i), (j if fits_right else 2 * j)
+            i, j = (i if fits_left else min(2 * i, len(left))), (j if fits_right else min(2 * j, len(right)))
+            window = self.merge(b"".join(map(self.table.__getitem__, left[len(left) - i :] + right[:j])))
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one pre-split piece."""
+        if len(data) <= PART_BYTES and (known := self._parts.get(data)) is not None:
+            return known
         if len(data) <= self.leaf:
-            return self.merge(data) if data else []
-        half = len(data) // 2
-        return self.join(self.encode(data[:half]), self.encode(data[half:]))
+            ids = self.merge(data) if data else []
+        else:
+            half = len(data) // 2
+            ids = self.join(self.encode(data[:half]), self.encode(data[half:]))
+        if len(data) <= PART_BYTES and len(self._parts) < CACHE_PARTS:
+            self._parts[data] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids: leaves of 4,096 ids, concatenated up the tree."""
@@ -133,41 +144,45 @@ def read_ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))}
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col`` array<int>: each match of ``pattern`` encoded by itself, no special tokens.
 
     Null and empty texts give an empty array. Every other column, row and repetition is kept as it is; an input column
     of the output's name is replaced. Rows stay in their partitions. The rank table, of bounded size, is broadcast.
+    With ``bytes_col``, the ids are decoded again in the same pass, into a binary column of that name.
     """
-    docs = docs.drop(ids_col)
+    docs = docs.drop(ids_col, *([bytes_col] if bytes_col else []))
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(bytes_col, T.BinaryType())] if bytes_col else [])
+    schema = T.StructType([*docs.schema.fields, *added])
     texts_as_string = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, pieces = regex.compile(pattern).findall, _Pieces(TreeBPE(ranks.value))
-        look = pieces.__getitem__
+        bpe = TreeBPE(ranks.value)
+        split, look = regex.compile(pattern).findall, _Pieces(bpe).__getitem__
 
-        def out(batch, begin, flat, sizes):
-            rows = batch.slice(begin, len(sizes))
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
-            return pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*rows.schema.names, ids_col])
+        def out(batch, begin, flat, back):
+            rows = batch.slice(begin, len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+            decoded = [pa.array(back, pa.binary())] if bytes_col else []
+            return pa.RecordBatch.from_arrays([*rows.columns, ids, *decoded], names=schema.names)
 
         for batch in batches:
-            flat, sizes, begin, held = [], [], 0, 0
+            flat, back, begin, held = [], [], 0, 0
             for k, text in enumerate(batch.column(at)):
                 ids = list(chain.from_iterable(map(look, split(text.as_py() or ""))))
                 flat.append(np.array(ids, np.int32))
-                sizes.append(len(ids))
+                if bytes_col:
+                    back.append(bpe.decode(ids))
                 held += len(ids)
                 if held >= BATCH_IDS:
-                    yield out(batch, begin, flat, sizes)
-                    flat, sizes, begin, held = [], [], k + 1, 0
-            if sizes:
-                yield out(batch, begin, flat, sizes)
+                    yield out(batch, begin, flat, back)
+                    flat, back, begin, held = [], [], k + 1, 0
+            if flat:
+                yield out(batch, begin, flat, back)
 
     return texts_as_string.mapInArrow(run, schema)
 
@@ -203,4 +218,4 @@ def digests(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
 
 def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The digests of a round trip of every document."""
-    return digests(decode(encode(docs.select(id_col, text_col), rank_file, pattern, text_col).drop(text_col), rank_file), id_col)
+    return digests(encode(docs.select(id_col, text_col), rank_file, pattern, text_col, bytes_col="decoded"), id_col)

@@ -37,6 +37,12 @@ def test_query_rows_equal_the_library(spark):
     assert got == sorted(want, key=str)
 
 
+def test_decoding_by_itself(spark):
+    tokens = spark.createDataFrame([(1, OWN.encode_ordinary("l'été 漢字 x" * 900)), (2, []), (3, None)], "doc_id long, token_ids array<int>")
+    got = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(tokens, P.path("byte_bpe_50k.tiktoken")).collect()}
+    assert got == {1: "l'été 漢字 x" * 900, 2: "", 3: ""}
+
+
 def test_empty_table_extra_columns_and_clashing_names(spark):
     docs = frame(spark, [])
     assert bpe.encode_and_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
