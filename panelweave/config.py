@@ -29,7 +29,7 @@ EARTH_RADIUS_KM = 6371.0
 
 @dataclass(frozen=True)
 class Fixture:
-    """Settings that suit the small driver tables: denser events and fewer surrogates than the baseline."""
+    """Settings that suit the small driver tables: denser events than the baseline."""
 
     scale: int = 30
     threshold: float = -1.0
@@ -38,7 +38,7 @@ class Fixture:
     rapid_days: int = 15
     rapid_change: float = -1.5
     rapid_final: float = -1.0
-    surrogates: int = 50
+    surrogates: int = N_SURROGATES
     lags: tuple[int, int] = (-30, 60)
     smoothing: int = 15
     hot_z: float = 1.0

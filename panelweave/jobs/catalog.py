@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.config import BURN_IN_DAYS, FIXTURE, SEASONS
+from panelweave.config import BURN_IN_DAYS, FIXTURE, N_SURROGATES, SEASONS
 from panelweave.functions.lineage import materialize
 from panelweave.operators import composite, derive, events, fitting, network, spatial, standardize, surrogate, sync
 from panelweave.sources import panel as src
@@ -16,7 +16,7 @@ P = FIXTURE
 RING = [(100.1, 20.15), (101.7, 20.05), (101.9, 20.55), (101.2, 20.35), (101.0, 20.9), (100.3, 20.7)]
 #: Source and sink regions of the composites, as folds of the node number.
 SOURCE_FOLD, SINK_FOLD, FOLDS = 0, 1, 3
-SWEEP_THRESHOLDS, SWEEP_TAUS, SWEEP_SURROGATES = (-0.5, -1.0, -1.5), (10, 15, 30), 20
+SWEEP_THRESHOLDS, SWEEP_TAUS, SWEEP_SURROGATES = (-0.5, -1.0, -1.5), (10, 15, 30), N_SURROGATES
 
 
 def _acc(spark: SparkSession, sf_dir: str) -> DataFrame:
