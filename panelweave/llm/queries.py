@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.functions.lineage import materialize
 from panelweave.llm import bpe, exact_dedup, langid, line_dedup, mixing, ordinal, outliers, simhash, suffix_dedup, url_filter
 from panelweave.sources.tables import table
 
@@ -31,8 +32,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return mixed.withColumn("rate", F.round("rate", 9))
+    """Whole documents are repeated, mixed and written; the result tells where each copy went."""
+    mixed = materialize(mixing.replicate(table(spark, sf_dir, "documents")), "mixed")
+    return mixed.select("doc_id", "source", *mixing.ADDED).withColumn("rate", F.round("rate", 9))
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
