@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.lineage import materialize
@@ -19,13 +19,22 @@ def _bits(hex_digits: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, hex_digits), 16, 10).cast("long")
 
 
-def _cdf(rate: Column) -> Column:
-    """P(X <= k) of a Poisson variable for k = 0, 1, ... until the rest is below the resolution of a double."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    log_factorial = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, i: a + F.log(F.greatest(i, F.lit(1)).cast("double")))
-    mass = F.transform(F.sequence(F.lit(0), last), lambda k: F.exp(k * F.log(rate) - rate - log_factorial(k)))
-    summed = F.aggregate(mass, F.array().cast("array<double>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + p)))
-    return F.when(rate > 0, summed).otherwise(F.array(F.lit(1.0)))
+def _cdfs(rates: DataFrame) -> DataFrame:
+    """``(source, rate, _least, _cdf)``: P(X <= k) of a Poisson variable for k = _least, _least + 1, ...
+
+    What lies below and beyond is under the resolution of a double. Terms come from running sums of logarithms over a
+    row for each k, so the work for a source grows with the root of its rate.
+    """
+    rate, k = F.col("rate"), F.col("_k")
+    reach = 12 * F.sqrt(rate) + 30
+    ks = F.when(rate > 0, F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(rate - reach)), F.ceil(rate + reach))).otherwise(F.array(F.lit(0).cast("long")))
+    by_k = Window.partitionBy("source").orderBy("_k")
+    rows = rates.withColumn("_k", F.explode(ks)).withColumn("_least", F.min("_k").over(Window.partitionBy("source")))
+    ratios = rows.withColumn("_log", F.sum(F.when(k > F.col("_least"), F.log(rate / k)).otherwise(0.0)).over(by_k))
+    whole = Window.partitionBy("source")
+    mass = ratios.withColumn("_p", F.exp(F.col("_log") - F.max("_log").over(whole))).withColumn("_sum", F.sum("_p").over(by_k))
+    held = mass.groupBy("source", "rate", "_least").agg(F.array_sort(F.collect_list("_sum")).alias("_sums"))
+    return held.select("source", "rate", "_least", F.transform("_sums", lambda x: x / F.array_max("_sums")).alias("_cdf"))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, target_rows: int | None = None, source_col: str = "source") -> DataFrame:
@@ -58,7 +67,7 @@ def replicate(
     it and sorted within.
     """
     plain = docs.drop(*ADDED)
-    rates = source_rates(docs, weights, target_rows, source_col).select(F.col("source").alias("_source"), "rate", _cdf(F.col("rate")).alias("_cdf"))
+    rates = materialize(_cdfs(source_rates(docs, weights, target_rows, source_col).select("source", "rate")).withColumnRenamed("source", "_source"), "rates")
     own = [f"c{k}" for k in range(len(plain.columns))]  # by place, so that names cannot clash
     rows = plain.toDF(*own)
     an_id, source = (F.col(own[plain.columns.index(c)]) for c in (id_col, source_col))
@@ -69,7 +78,7 @@ def replicate(
         salted = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
         rated = rows.join(salted, same & (F.pmod(F.xxhash64(an_id), F.lit(SALTS)).cast("int") == F.col("_salt"))).drop("_salt")
     uniform = _bits(13, F.lit(seed), an_id) / F.lit(float(1 << 52))
-    drawn = rated.withColumn("_u", uniform).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("long"))
+    drawn = rated.withColumn("_u", uniform).withColumn("n_copies", F.col("_least") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
     copies = drawn.where("n_copies > 0").select(*own, "rate", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
     keyed = copies.withColumn("shuffle_key", _bits(15, F.lit(seed), an_id, F.col("copy_no")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -79,7 +88,7 @@ def replicate(
 ORACLE_SQL = """
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 r AS (SELECT source, (SELECT sum(n) FROM s)::DOUBLE / ((SELECT count(*) FROM s)::DOUBLE * n) AS rate FROM s),
-m AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM r, (SELECT unnest(range(0, 400)) AS k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
+m AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM r, (SELECT unnest(range(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 30)::BIGINT + 1 FROM r))) AS k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
 c AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM m),
 u AS (SELECT doc_id, source, ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
 n AS (SELECT u.doc_id, u.source, c.rate, count(*) FILTER (c.cdf <= u.u) AS n_copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)

@@ -116,3 +116,10 @@ def test_weights_targets_and_odd_rows(spark, monkeypatch):
     assert count["c"] == 0 and abs(count["a"] - 3000) < 250 and abs(count["b"] - 1000) < 150
     assert mixing.replicate(frame(spark, [])).count() == 0
     assert mixing.replicate(docs, weights, 0).count() == 0
+
+
+def test_large_rates_repeat_rows_in_full(spark):
+    rows = [(k, "x", None, "big") for k in range(1, 5000)] + [(-1, "y", None, "one"), (-2, "z", None, "two"), (-3, "z", None, "two")]
+    found = mixing.replicate(frame(spark, rows), target_rows=900_000).groupBy("source", "doc_id").count().collect()
+    by = {r.doc_id: r["count"] for r in found if r.source != "big"}
+    assert abs(by[-1] - 300_000) < 8 * 300_000**0.5 and all(abs(by[k] - 150_000) < 8 * 150_000**0.5 for k in (-2, -3))
