@@ -37,18 +37,29 @@ def _buckets(text: str) -> np.ndarray:
     return (grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
+def _part(sizes: list[int], most: int) -> float:
+    """The number of rows of each group, or all of a smaller one, that make up ``most`` rows."""
+    left = float(most)
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) >= left:
+            return left / (len(sizes) - k)
+        left -= n
+    return float(max(sizes, default=0))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from text and non-null language of about ``MAX_TRAIN`` documents, an even sample by a hash of id and text.
+    """Learn from text and non-null language of about ``MAX_TRAIN`` documents, a sample by a hash of id and text.
 
-    The sample is the share of rows whose hash lies under a bound set by the number of labelled documents: no sorting,
-    and texts stay where they are read until counts are summed per language on Spark. Only rows of counts come to the
-    driver. Without a usable row there are no languages, and every document is unknown.
+    Languages have equal parts of the sample; one with fewer rows than its part gives all and leaves the rest to the
+    others, so that rare languages are learned at every size. A row is taken if its hash lies under its language's bound:
+    no sorting, and texts stay where they are read until counts are summed per language on Spark. Only rows of counts
+    come to the driver. Without a usable row there are no languages, and every document is unknown.
     """
-    usable = docs.where(F.col(lang_col).isNotNull())
-    bound = min(1.0, MAX_TRAIN / max(1, usable.count()))
-    h = F.xxhash64(id_col, text_col)
-    under = F.pmod(h, F.lit(1 << 30)) < int(bound * (1 << 30))
-    some = usable.where(under & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
+    usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    part = _part(list(sizes.values()), MAX_TRAIN)
+    bounds = docs.sparkSession.createDataFrame([(k, int(min(1.0, part / n) * (1 << 30))) for k, n in sizes.items()], "lang string, bound long")
+    some = usable.join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound")).drop("bound")
     some = some.dropDuplicates(["lang", "h"])  # rows that repeat count once, so the sample stays small
 
     def count(part: pd.DataFrame) -> pd.DataFrame:

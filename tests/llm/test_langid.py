@@ -65,3 +65,12 @@ def test_empty_tables_and_no_labels(spark):
     one = langid.fit(frame(spark, [(1, "words here", "zz", "s")]))
     assert langid.identify(frame(spark, [(1, "words")]), one).first().lang_pred == "zz"
     assert frame(spark, [(None, "a")]).select(langid.is_held_out()).first()[0] is None
+
+
+def test_rare_languages_are_learned_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_TRAIN", 60)
+    rows = [(k, f"the common words number {k}", "aa", "s") for k in range(6000)] + [(-k, f"zyx wvu qrs {k}", "zz", "s") for k in range(1, 21)]
+    model = langid.fit(frame(spark, rows))
+    assert model.langs == ["aa", "zz"]
+    rare = langid.fit(frame(spark, [r for r in rows if r[2] == "zz"]))
+    assert np.array_equal(model.p[:, 1], rare.p[:, 0])  # all of its rows
