@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -15,8 +16,9 @@ from pyspark.sql import types as T
 
 #: Pieces up to so many bytes are merged directly; longer ones are halved. Parts up to so many bytes are remembered.
 LEAF_BYTES, PART_BYTES = 4, 10
-#: Pieces whose ids a Python worker remembers, and their greatest length in characters; parts and pairs it remembers.
-CACHE_PIECES, CACHE_CHARS, CACHE_PARTS = 200_000, 48, 50_000
+#: Pieces in each of the two generations that a Python worker remembers, and their greatest length in characters; parts
+#: and pairs it remembers.
+CACHE_PIECES, CACHE_CHARS, CACHE_PARTS = 250_000, 48, 50_000
 #: Rows of an output batch hold about so many ids at most.
 BATCH_IDS = 1_000_000
 
@@ -125,19 +127,34 @@ class TreeBPE:
 
 
 class _Pieces(dict):
-    """Ids of pieces, remembered up to a bound."""
+    """Ids of pieces, in two generations: a full one becomes the older, so what is in use stays and memory is bounded."""
 
     def __init__(self, bpe: TreeBPE):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.bpe.encode(piece.encode()))
-        if len(self) < CACHE_PIECES and len(piece) <= CACHE_CHARS:
+        if (ids := self.older.get(piece)) is None:
+            ids = tuple(self.bpe.encode(piece.encode()))
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
 
+#: What a Python worker learned in earlier tasks of the same job, by the job's tag: one entry.
+_LEARNED: dict[str, _Pieces] = {}
+
+
+def _pieces(tag: str, ranks) -> _Pieces:
+    if tag not in _LEARNED:
+        _LEARNED.clear()
+        _LEARNED[tag] = _Pieces(TreeBPE(ranks.value))
+    return _LEARNED[tag]
+
+
 def read_ranks(rank_file: str) -> dict[bytes, int]:
     """A rank file: base64 of the bytes, a space and the rank on each line."""
     with open(rank_file, "rb") as lines:
@@ -157,12 +174,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(bytes_col, T.BinaryType())] if bytes_col else [])
     schema = T.StructType([*docs.schema.fields, *added])
     texts_as_string = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    tag = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        bpe = TreeBPE(ranks.value)
-        split, look = regex.compile(pattern).findall, _Pieces(bpe).__getitem__
+        pieces = _pieces(tag, ranks)
+        bpe, split, look = pieces.bpe, regex.compile(pattern).findall, pieces.__getitem__
 
         def out(batch, begin, flat, back):
             rows = batch.slice(begin, len(flat))
