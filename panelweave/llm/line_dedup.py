@@ -16,8 +16,10 @@ from panelweave.functions.lineage import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
-#: Keys of a shard at most on average, the least number of shards, and the parts into which a shard's probes are dealt.
-SHARD_KEYS, MIN_SHARDS, SALTS = 50_000, 64, 8
+#: Keys of a shard at most on average, and the least number of shards.
+SHARD_KEYS, MIN_SHARDS = 50_000, 64
+#: A line that more than one in so many line rows is goes beside the shards, so there are fewer such lines than this.
+HOT_LINES = 10_000
 _NULL_ID = (1 << 63) - 1
 _LEVELS, _LOAD = 40, 2.0
 
@@ -79,13 +81,13 @@ def _pack(high: np.ndarray, low: np.ndarray, first: np.ndarray, n: np.ndarray) -
     hashed = PerfectHash.build(high)
     order = np.argsort(hashed.index(high))
     out = io.BytesIO()
-    np.savez(out, fingerprint=low[order], first=first[order], n=n[order].astype(np.int32), rest=hashed.rest, **{f"w{i}": w for i, w in enumerate(hashed.words)})
+    np.savez(out, fingerprint=low[order], first=first[order], n=np.minimum(n[order], 2**31 - 1).astype(np.int32), rest=hashed.rest, **{f"w{i}": w for i, w in enumerate(hashed.words)})
     return out.getvalue()
 
 
-def _unpack(blob: bytes) -> tuple[PerfectHash, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray]:
     x = np.load(io.BytesIO(blob))
-    return PerfectHash([x[f"w{i}"] for i in range(len(x.files) - 4)], x["rest"]), x["fingerprint"], x["first"]
+    return PerfectHash([x[f"w{i}"] for i in range(len(x.files) - 4)], x["rest"]), x["fingerprint"], x["first"], x["n"]
 
 
 def _keys(text: str | None, least: int) -> list[bytes | None]:
@@ -113,13 +115,13 @@ def _hash_lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, high long, low long")
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """(high, low, first, n): hashes of keys that two documents hold, their smallest id and number of rows."""
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(high, low, first, n): every distinct key by its hash, its smallest id and its rows; rows of one id alone count once."""
     found = lines.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-    return found.where("first < last").drop("last")
+    return found.select("high", "low", "first", F.when(F.col("first") < F.col("last"), F.col("n")).otherwise(1).cast("long").alias("n"))
 
 
-def _build_shards(repeated: DataFrame, shards: int) -> DataFrame:
+def _build_shards(known: DataFrame, shards: int) -> DataFrame:
     """(shard, blob): distinct high halves are hashed; keys that share one with another follow in a second blob."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -131,43 +133,59 @@ def _build_shards(repeated: DataFrame, shards: int) -> DataFrame:
             shard, part = int(part.shard.iloc[0]), part[again]
         return pd.DataFrame({"shard": shard, "blob": blobs})
 
-    keyed = repeated.withColumn("shard", F.pmod("high", F.lit(shards)).cast("int"))
+    keyed = known.withColumn("shard", F.pmod("high", F.lit(shards)).cast("int"))
     return keyed.groupBy("shard").applyInPandas(build, "shard int, blob binary")
 
 
 def _probe(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """(id, high): lines that an earlier document holds. Probes stream past the arrays of their shard, which come first."""
-    salt = F.pmod(F.xxhash64("id", "low"), F.lit(SALTS)).cast("int")
-    asked = lines.select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), salt.alias("salt"), F.lit(1).alias("kind"), "id", "high", "low", F.lit(None).cast("binary").alias("blob"))
+    """(id, high): lines that an earlier document holds. Probes stream past the arrays of their shard, which come first.
+
+    All shards together grow with the corpus, so no task holds them all: each is read by the one task that its probes go to.
+    """
+    asked = lines.select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "id", "high", "low", F.lit(None).cast("binary").alias("blob"))
     none = F.lit(0).cast("long")
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), none.alias("id"), none.alias("high"), none.alias("low"), "blob")
+    arrays = index.select("shard", F.lit(0).alias("kind"), none.alias("id"), none.alias("high"), none.alias("low"), "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tables = None, []
         for batch in batches:
-            shard, salt, kind, ids, high, low = (batch.column(i).to_numpy() for i in range(6))
-            new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])])
+            shard, kind, ids, high, low = (batch.column(i).to_numpy() for i in range(5))
+            new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])])
             edges = np.flatnonzero(new).tolist()
             for a, b in zip(edges, [*edges[1:], len(shard)], strict=True):
-                if (shard[a], salt[a]) != at:
-                    at, tables = (shard[a], salt[a]), []
+                if shard[a] != at:
+                    at, tables = shard[a], []
                 if kind[a] == 0:
-                    tables += [_unpack(batch.column(6)[k].as_py()) for k in range(a, b)]
+                    tables += [_unpack(batch.column(5)[k].as_py()) for k in range(a, b)]
                     continue
                 drop = np.zeros(b - a, bool)
-                for hashed, fingerprint, first in tables:
-                    n = hashed.index(high[a:b].view(np.uint64))
-                    known = n >= 0
-                    drop |= known & (fingerprint[n] == low[a:b]) & (first[n] < ids[a:b])
+                for hashed, fingerprint, first, count in tables:
+                    k = hashed.index(high[a:b].view(np.uint64))
+                    drop |= (k >= 0) & (fingerprint[k] == low[a:b]) & (count[k] >= 2) & (first[k] < ids[a:b])
                 if drop.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][drop]), pa.array(high[a:b][drop])], names=["id", "high"])
 
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.unionByName(arrays).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    dealt = asked.unionByName(arrays).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
     return dealt.mapInArrow(run, "id long, high long")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(lines: DataFrame, hot_lines: int = HOT_LINES) -> DataFrame:
+    """(id, high): the lines of (id, high, low) that go, each once for a row.
+
+    The perfect hash is over all distinct lines. Rows of lines that make up more than one in ``hot_lines`` of all rows do
+    not travel: such lines are fewer than ``hot_lines``, and their first holders are broadcast.
+    """
+    known = materialize(distinct_lines(lines), "distinct-lines")
+    sums = known.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    hot = F.broadcast(known.where(F.col("n") * hot_lines > F.lit(sums.rows or 0)).where("n >= 2").select("high", "low", "first"))  # under hot_lines rows
+    shards = max(MIN_SHARDS, -(-sums.keys // SHARD_KEYS))
+    index = materialize(_build_shards(known, shards), "line-index")
+    rest = lines.join(hot, ["high", "low"], "left_anti").select("id", "high", "low")
+    return lines.join(hot, ["high", "low"]).where("first < id").select("id", "high").unionByName(_probe(rest, index, shards))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, hot_lines: int = HOT_LINES) -> DataFrame:
     """``docs`` without repeated lines, and with ``n_lines`` (before) and ``n_dropped``.
 
     Lines are split at line feeds; a null or empty text is one empty line, and a null stays null. A line's key is the
@@ -178,10 +196,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = docs.drop("n_lines", "n_dropped")
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     lines = materialize(_hash_lines(plain.select(own_id.alias("id"), F.col(text_col).cast("string").alias("text")), min_chars), "lines")
-    repeated = materialize(repeated_lines(lines), "repeated-lines")
-    shards = max(MIN_SHARDS, -(-repeated.count() // SHARD_KEYS))
-    index = materialize(_build_shards(repeated, shards), "line-index")
-    dropped = _probe(lines, index, shards).groupBy("id").agg(F.collect_set("high").alias("_drop")).withColumnRenamed("id", "_id")
+    dropped = dropped_lines(lines, hot_lines).groupBy("id").agg(F.collect_set("high").alias("_drop")).withColumnRenamed("id", "_id")
     at, n = plain.columns.index(text_col), len(plain.columns)
     schema = T.StructType([*plain.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 

@@ -19,7 +19,7 @@ def texts(rng, n):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("runs,fan_in", [(64, 8), (5, 2), (1, 8)])
+@pytest.mark.parametrize("runs,fan_in", [(64, 4), (5, 2), (1, 8)])
 def test_exact_groups_equal_brute_force(spark, keep, runs, fan_in):
     rows = texts(random.Random(4), 150) + [(None, "alone"), (None, None)]
     got = sorted(map(tuple, exact_dedup.group_texts(frame(spark, rows), keep=keep, runs=runs, fan_in=fan_in).collect()), key=str)
@@ -41,6 +41,19 @@ def test_exact_empty_and_clashing_columns(spark):
     assert exact_dedup.group_texts(clash).first().kept
 
 
+def test_exact_runs_are_merged_in_sorted_order(spark, monkeypatch):
+    """Above the leaves, a run is exchanged by range, sorted once, and aggregated as a sorted stream without another shuffle."""
+    plans = []
+    keep = exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), keep(df, label))[1])
+    assert exact_dedup.group_texts(frame(spark, texts(random.Random(5), 60))).count() == 60
+    merges = [p for label, p in plans if label == "runs"]
+    assert len(merges) == 4  # leaves, then 64 to 16 to 4 to 1
+    for p in merges:
+        final = p.split("Initial Plan")[0]
+        assert "SortAggregate" in final and "HashAggregate" not in final and final.count("Exchange") == 1
+
+
 def brute_lines(rows, least=10):
     key = lambda line: line.strip(line_dedup.BLANKS).translate(LOW)
     big = 1 << 63
@@ -65,6 +78,8 @@ def test_lines_equal_brute_force(spark):
     got = line_dedup.drop_repeated_lines(frame(spark, rows))
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()), key=str) == brute_lines(rows)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_dropped"]
+    probed = line_dedup.drop_repeated_lines(frame(spark, rows), hot_lines=1)  # no line is hot: all go through the arrays
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in probed.collect()), key=str) == brute_lines(rows)
     clash = frame(spark, [(1, "a line that repeats"), (2, "a line that repeats")]).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "_drop")
     assert sorted(r.n_dropped for r in line_dedup.drop_repeated_lines(clash).collect()) == [0, 1]
     assert line_dedup.drop_repeated_lines(frame(spark, [])).count() == 0
