@@ -15,10 +15,10 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 #: The transformed statistics, and the standard deviation that is added to each so that a constant one has a tolerance.
 VECTOR = {"v_length": 0.02, "v_symbols": 0.25, "v_marks": 0.25, "v_distinct": 0.02, "v_lines": 0.5}
-#: Share of a group's rows that the subset holds, concentration steps, and the chi-square probability kept.
-SUBSET, STEPS, KEPT_PROBABILITY = 0.75, 4, 0.99999
-#: Rows that a group needs for an estimate of its own; smaller ones pool with the small ones of their language, then all.
-MIN_GROUP = 60
+#: Share of a group's rows that the subset holds, concentration steps at most, and the chi-square probability kept.
+SUBSET, MAX_STEPS, KEPT_PROBABILITY = 0.75, 12, 0.99999
+#: The added variance of a group of n rows is 1 + PRIOR_ROWS / n times that of ``VECTOR``: wide while little is known.
+PRIOR_ROWS = 60
 #: Bins of the logarithm of squared distances, a unit; groups up to which their estimates are broadcast, else salted.
 BINS, BROADCAST_GROUPS, SALTS = 64, 10_000, 64
 
@@ -103,12 +103,12 @@ def chi_square_quantile(p: float, k: int) -> float:
     return (lo + hi) / 2
 
 
-def _with_estimates(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+def _with_estimates(rows: DataFrame, estimates: DataFrame, few: bool, how: str = "inner") -> DataFrame:
     """Each row beside the estimates of its group: broadcast where the groups are few, else over salted keys."""
     if few:
-        return rows.join(F.broadcast(estimates), "g")
+        return rows.join(F.broadcast(estimates), "g", how)
     salted = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["g", "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["g", "_salt"], how).drop("_salt")
 
 
 def _with_distance(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -125,35 +125,54 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log(distance + 1e-6) * BINS).cast("long")
 
 
-def _estimates(rows: DataFrame, names: list[str], start: Column, chosen: Column | None = None) -> DataFrame:
-    """Mean and Cholesky factor of the ridged covariance of the chosen rows of each group, from exact whole sums."""
-    chosen = F.lit(True) if chosen is None else chosen
-    wide = lambda c: F.sum(F.when(chosen, c).cast("decimal(38,0)"))
+def _sums(rows: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """(keys, n, s_i, p_i_j): count, sums and sums of products as exact whole numbers."""
+    wide = lambda c: F.sum(c.cast("decimal(38,0)"))
     sums = {f"s_{i}": wide(F.col(a)) for i, a in enumerate(names)}
     sums |= {f"p_{i}_{j}": wide(F.col(a) * F.col(names[j])) for i, a in enumerate(names) for j in range(i + 1)}
-    agg = rows.groupBy("g", start.alias("start")).agg(F.count(F.when(chosen, 1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
-    out = agg.withColumns({f"m_{i}": F.col(f"s_{i}").cast("double") / F.col("n") for i in range(len(names))})
-    ridge = [(1000 * x) ** 2 for x in VECTOR.values()]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
+
+
+def _factored(sums: DataFrame, names: list[str]) -> DataFrame:
+    """(g, start, n, m_i, l_i_j): mean and Cholesky factor of the ridged covariance of each group and start, from their sums."""
+    out = sums.withColumns({f"m_{i}": F.col(f"s_{i}").cast("double") / F.col("n") for i in range(len(names))})
+    ridge = [(1000 * x) ** 2 * (1 + PRIOR_ROWS / F.col("n")) for x in VECTOR.values()]
     for i in range(len(names)):
         for j in range(i + 1):
             c = (F.col(f"p_{i}_{j}").cast("double") - F.col(f"s_{i}").cast("double") * F.col(f"m_{j}")) / F.col("n")
             for k in range(j):
                 c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             if i == j:
-                c = F.sqrt(F.greatest(c + ridge[i], F.lit(ridge[i] / 2)))
+                c = F.sqrt(F.greatest(c + ridge[i], ridge[i] / 2))
             else:
                 c = c / F.col(f"l_{j}_{j}")
             out = out.withColumn(f"l_{i}_{j}", c)
     factor = [f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)]
-    return out.select("g", "start", *[f"m_{i}" for i in range(len(names))], *factor)
+    return out.select("g", "start", "n", *[f"m_{i}" for i in range(len(names))], *factor)
 
 
-def _limits(near: DataFrame, share: float) -> DataFrame:
-    """(g, start, limit): the bin of distances within which the given share of a group's rows lies; by counts of bins."""
-    counts = near.groupBy("g", "start", "bin").count()
+def _nearest(binned: DataFrame, share: float) -> DataFrame:
+    """The sums over the bins of distance within which the given share of a group's rows lies."""
     by_group = Window.partitionBy("g", "start")
-    summed = counts.withColumn("below", F.sum("count").over(by_group.orderBy("bin"))).withColumn("all", F.sum("count").over(by_group))
-    return summed.where(F.col("below") >= F.ceil(F.col("all") * share)).groupBy("g", "start").agg(F.min("bin").alias("limit"))
+    below, every = F.sum("n").over(by_group.orderBy("bin")), F.sum("n").over(by_group)
+    near = binned.withColumn("_below", below - F.col("n")).withColumn("_all", every).where(F.col("_below") < F.ceil(F.col("_all") * share))
+    return near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in binned.columns if c not in ("g", "start", "bin")])
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, names: list[str], few: bool, steps: int) -> DataFrame:
+    """Estimates after concentration steps, until none of them moves or ``steps`` are made.
+
+    A step reads the rows once: sums by group, start and bin of distance give both the limit of the subset and its moments.
+    """
+    whole = F.xxhash64(*now.columns).cast("decimal(20,0)")
+    before = None
+    for _ in range(steps):
+        near = _with_distance(_with_estimates(rows, now.drop("n"), few), names).withColumn("bin", _bin(F.col("distance")))
+        now = materialize(_factored(_nearest(_sums(near, names, "g", "start", "bin"), SUBSET), names), "estimates")
+        if (state := now.agg(F.sum(whole)).first()[0]) == before:
+            break
+        before = state
+    return now
 
 
 def judge(
@@ -165,59 +184,35 @@ def judge(
     ``base_failed``: fewer than 10 words, or more than a fifth of the words inside repeated five-word windows.
     The others are judged within their language and source (null is a value of its own): the estimate starts from
     mean and covariance of all rows and from those of the rows within a band around the mean of each statistic, takes
-    concentration steps onto the ``SUBSET`` of rows nearest to it, and keeps the start of smaller determinant. Rows whose
-    ``distance``, squared Mahalanobis, passes the chi-square quantile of ``probability`` are not kept. Groups under
-    ``MIN_GROUP`` rows are pooled; if even all small ones are fewer, they keep their rows and have no distance. Only
-    aggregates of groups and of bins of distances are shuffled after the first stage. Repeated rows are judged each.
+    concentration steps onto the ``SUBSET`` of rows nearest to it (a bin of distances is taken whole) until they move
+    nothing, and keeps the start of smaller determinant. Rows whose ``distance``, squared Mahalanobis, passes the chi-square
+    quantile of ``probability`` are not kept. Every group has its own estimate; the fewer rows it has, the wider the
+    variance added to it, so that a group of one keeps its row. Only aggregates of groups and of bins of distances are
+    shuffled after the first stage. Repeated rows are judged each.
     """
     kind = docs.schema[id_col].dataType
     lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
-    named = docs.withColumn("_lang", F.to_json(F.struct(lang))).withColumn("_group", F.to_json(F.struct(lang, source)))
-    stats = word_statistics(named, id_col, text_col, "_lang", "_group")
+    named = docs.withColumn("_group", F.to_json(F.struct(lang, source)))
+    stats = word_statistics(named, id_col, text_col, "_group").withColumnRenamed("_group", "g")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = materialize(_transformed(stats.withColumn("base_failed", failed)), "text-statistics")
     names = list(VECTOR)
 
-    sizes = stats.where("NOT base_failed").groupBy("_lang", "_group").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < MIN_GROUP).groupBy("_lang").agg(F.sum("n").alias("pool"))
-    homes = sizes.join(small, "_lang", "left").select(
-        "_group", F.when(F.col("n") >= MIN_GROUP, F.col("_group")).when(F.col("pool") >= MIN_GROUP, F.col("_lang")).otherwise("all").alias("g")
-    )
-    homes = materialize(homes, "groups")
-    few = homes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    if few:
-        placed = stats.join(F.broadcast(homes), "_group", "left")
-    else:
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-        spread = homes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        placed = stats.withColumn("_salt", salt).join(spread, ["_group", "_salt"], "left").drop("_salt")
-    rows = placed.where("NOT base_failed").select("g", "id", *names)
-    everyone = materialize(_estimates(rows, names, F.lit("all")), "estimates")
-    inner = _with_estimates(rows, everyone, few)
+    rows = stats.where("NOT base_failed").select("g", "id", *names)
+    everyone = materialize(_factored(_sums(rows.withColumn("start", F.lit("all")), names, "g", "start"), names), "estimates")
+    few = everyone.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    inner = _with_estimates(rows, everyone.drop("n", "start"), few)
     band = [F.abs(F.col(a) - F.col(f"m_{i}")) <= F.sqrt(sum((F.col(f"l_{i}_{j}") ** 2 for j in range(i + 1)), F.lit(0.0))) for i, a in enumerate(names)]
-    inside = inner.where(sum((b.cast("int") for b in band), F.lit(0)) == len(names))
-    now = materialize(everyone.unionByName(_estimates(inside, names, F.lit("band"))), "estimates")
-    for step in range(STEPS + 1):
-        near = _with_distance(_with_estimates(rows, now, few), names).withColumn("bin", _bin(F.col("distance")))
-        limits = materialize(_limits(near, SUBSET), "limits")
-        if step == STEPS:
-            break
-        beside = _with_estimates(rows, now.join(limits, ["g", "start"]), few)
-        nearest = _with_distance(beside, names).withColumn("chosen", _bin(F.col("distance")) <= F.col("limit"))
-        now = materialize(_estimates(nearest, names, F.col("start"), F.col("chosen")), "estimates")
+    inside = inner.where(sum((b.cast("int") for b in band), F.lit(0)) == len(names)).select("g", *names, F.lit("band").alias("start"))
+    starts = materialize(everyone.unionByName(_factored(_sums(inside, names, "g", "start"), names)), "estimates")
+    now = _concentrated(rows, starts, names, few, MAX_STEPS)
 
     k = len(names)
     spread = SUBSET / _chi_square(chi_square_quantile(SUBSET, k), k + 2)  # consistency of the subset's covariance for normal rows
     cut = chi_square_quantile(probability, k) * spread
     log_det = sum((F.log(f"l_{i}_{i}") for i in range(k)), F.lit(0.0))
-    enough = rows.groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_GROUP).select("g")
-    best = now.withColumn("det", log_det).withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy("det", "start"))).where("_r = 1").drop("_r", "start")
-    best = materialize(best.join(enough, "g", "left_semi"), "best-estimates")
-    if few:
-        judged = placed.join(F.broadcast(best), "g", "left")
-    else:
-        spread_best = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        judged = placed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread_best, ["g", "_salt"], "left")
+    best = now.withColumn("det", log_det).withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy("det", "start"))).where("_r = 1").drop("_r", "start", "n")
+    judged = _with_estimates(stats, materialize(best, "best-estimates"), few, "left")
     distance = F.when(~F.col("base_failed"), F.col("distance"))
     return _with_distance(judged, names).withColumn("distance", distance).select(
         F.col("id").cast(kind).alias(id_col),
