@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from util import frame
 from xxhash import xxh64_intdigest
 
@@ -69,17 +70,54 @@ def _classes(fps, links):
     return {f: find(f) for f in fps}
 
 
-def test_index_finds_the_classes_of_large_groups():
+@pytest.mark.parametrize("leaf", [2, 32])
+def test_index_finds_the_classes_of_every_run(monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "PAIRS", 3000)
     rng = random.Random(5)
-    fps = {rng.getrandbits(64) & 0xFFFF for _ in range(1500)} | {1 << 60 | 1 << i | 1 << j for i in range(20, 60) for j in range(i)}
-    fps = sorted(fps, key=lambda f: simhash_rank(f))
-    a, b = simhash.GrayIndex(np.array(fps, np.uint64)).links(3)
-    want = [(x, y) for n, x in enumerate(fps) for y in fps[:n] if (x ^ y).bit_count() <= 3]
+    runs = [[rng.getrandbits(64)] for _ in range(5)] + [[f := rng.getrandbits(64), f ^ 5, f ^ 7 << 9, rng.getrandbits(64)] for _ in range(20)]
+    runs.append(list({rng.getrandbits(64) & 0xFFFF for _ in range(600)}))
+    runs.append([1 << 60 | 1 << i | 1 << j for i in range(20, 50) for j in range(i)])
+    fps, of, want = [], [], []
+    for k, members in enumerate(runs):
+        members = sorted(set(members), key=simhash_rank)
+        want += [(x, y) for n, x in enumerate(members) for y in members[:n] if (x ^ y).bit_count() <= 3]
+        fps += members
+        of += [k] * len(members)
+    a, b = simhash.GrayIndex(np.array(fps, np.uint64), np.array(of)).links(3)
     got = list(zip(a.tolist(), b.tolist(), strict=True))
     assert all((x ^ y).bit_count() <= 3 for x, y in got) and len(got) < len(fps)
     assert _classes(fps, got) == _classes(fps, want)
 
 
+def test_far_groups_are_pruned_by_their_shared_bits():
+    fps = sorted([(k % 2) * 0xFF00 | (k >> 1 & 15) for k in range(32)] + [0xFF << 40 | k for k in range(32)], key=simhash_rank)
+    index = simhash.GrayIndex(np.repeat(np.array(sorted(set(fps), key=simhash_rank), np.uint64), 1), np.zeros(len(set(fps)), int))
+    every = len(index.levels[0][0])
+    pairs = sum(len(a) for a, _ in index.leaf_pairs(3))
+    assert every * (every + 1) // 2 >= pairs >= every
+
+
+def test_crowded_patterns_are_factored_once_more(spark):
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    fps = {base} | {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)} | {rng.getrandbits(64) for _ in range(200)}
+    frame_ = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    want = _classes(sorted(fps), [(x, y) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 3])
+    for split in (20, 50_000):
+        got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.fingerprint_links(frame_, split=split).collect()]
+        assert all((x ^ y).bit_count() <= 3 for x, y in got) and _classes(sorted(fps), got) == want
+    for mask, four in zip(simhash.root_masks(), simhash._split_masks(), strict=True):
+        assert all((m % (1 << 64)).bit_count() == 37 and m % (1 << 64) & mask == mask for m in four)
+
+
+def test_frequent_fingerprints_are_placed_like_the_others(spark, monkeypatch):
+    rows = [(k, "the same text as ever") for k in range(50)] + [(k, f"another text {k} of words {k * 7}") for k in range(50, 80)]
+    for hot in (1, 10_000):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert sorted(map(tuple, simhash.near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
 def simhash_rank(f):
     for s in (1, 2, 4, 8, 16, 32):
         f ^= f >> s
