@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from panelweave.functions.lineage import materialize
 LENGTH, SEED = 100, 32
 #: Depth of the shallow sort behind the seed; contexts of one seed up to which one task sorts them.
 SHALLOW, LARGE_GROUP = 16, 20_000
+#: A seed of more than one in so many contexts is frequent: there are fewer than this.
+HOT = 10_000
 #: Bytes hashed at once, and the longest stretch of a document that is sampled at once.
 CHUNK, SEGMENT = 1 << 18, 1 << 22
 _NULL_ID = (1 << 63) - 1
@@ -93,7 +95,7 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, first + (at & 127), first + (at >> 7 & 127)
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
+def _anchors(docs: DataFrame, segment: int) -> DataFrame:
     """(seed, context, id, sub, at, again): sampled suffixes; ``again`` tells of an earlier equal context in the same batch."""
 
     def of_batch(ids: np.ndarray, subs: np.ndarray, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -107,8 +109,8 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
         for k, text in enumerate(texts):
             raw = (text or "").encode()
-            for begin in range(0, max(1, len(raw) - LENGTH + 1), SEGMENT):
-                part = raw[begin : begin + SEGMENT + LENGTH - 1]
+            for begin in range(0, max(1, len(raw) - LENGTH + 1), segment):
+                part = raw[begin : begin + segment + LENGTH - 1]
                 if len(part) < LENGTH:
                     continue
                 held.append(part)
@@ -136,7 +138,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 columns = [spread[part].view(np.int64), context[part].view(np.int64), ids[part], subs[part], at[part], again[part]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["seed", "context", "id", "sub", "at", "again"])
 
-    return docs.mapInArrow(run, "seed long, context long, id long, sub int, at long, again boolean")
+    return docs.mapInArrow(run, "seed long, context long, id long, sub long, at long, again boolean")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def _shared(anchors: DataFrame) -> DataFrame:
             many[group[second]] = True
             if waiting is not None:
                 if second[group == 0].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in waiting], schema=pa.schema([("seed", pa.int64()), ("id", pa.int64()), ("sub", pa.int32()), ("at", pa.int64()), ("again", pa.bool_())]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in waiting], schema=pa.schema([("seed", pa.int64()), ("id", pa.int64()), ("sub", pa.int64()), ("at", pa.int64()), ("again", pa.bool_())]))
                     waiting = None
                 elif group[-1] > 0:
                     waiting = None
@@ -179,7 +181,7 @@ def _shared(anchors: DataFrame) -> DataFrame:
 
     parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = anchors.repartition(parts, "seed").sortWithinPartitions("seed", "context", "id", "sub", "at")
-    return together.mapInArrow(run, "seed long, id long, sub int, at long, again boolean")
+    return together.mapInArrow(run, "seed long, id long, sub long, at long, again boolean")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -253,34 +255,61 @@ class BlindTrie:
         return tags, common
 
 
+def _multikey(strings: list[bytes], members: list[int]) -> tuple[list[int], list[int]]:
+    """Members in order of their strings, and what each has in common with the one before, -1 for the first.
+
+    Ternary partition by the byte at a depth, as quicksort does by the whole key. Parts that still agree at ``SHALLOW`` bytes
+    go through a blind trie.
+    """
+    order: list[int] = []
+    common: list[int] = []
+    stack = [(members, 0, -1, False)]  # members, bytes they agree in, common with the one before, all equal
+    while stack:
+        part, depth, before, equal = stack.pop()
+        if len(part) == 1 or equal:
+            order += part
+            common += [before] + [depth] * (len(part) - 1)
+            continue
+        if depth == SHALLOW:
+            trie = BlindTrie()
+            for k in part:
+                trie.insert(strings[k], k)
+            tags, shared = trie.ordered()
+            order += tags
+            common += [before, *shared[1:]]
+            continue
+        heads = [strings[k][depth] if depth < len(strings[k]) else -1 for k in part]
+        pivot = sorted((heads[0], heads[len(heads) // 2], heads[-1]))[1]
+        same = [k for k, h in zip(part, heads, strict=True) if h == pivot]
+        if len(same) == len(part):
+            if pivot >= 0:  # on to where they part
+                first = strings[part[0]]
+                depth = min(SHALLOW, *(_common(first, strings[k]) for k in part[1:]))
+            stack.append((part, depth, before, pivot < 0))
+            continue
+        less, more = [k for k, h in zip(part, heads, strict=True) if h < pivot], [k for k, h in zip(part, heads, strict=True) if h > pivot]
+        if more:
+            stack.append((more, depth, depth, False))
+        stack.append((same, depth + (pivot >= 0), depth if less else before, pivot < 0))
+        if less:
+            stack.append((less, depth, before, False))
+    return order, common
+
+
 def deep_shallow(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings by group and bytes, and the common length with the one before (-1 where a group begins).
 
-    Multikey sorting goes to ``SHALLOW`` bytes; what still agrees there goes through blind tries.
+    The strings of a group stand together. Multikey quicksort goes to ``SHALLOW`` bytes; what still agrees there goes through
+    blind tries.
     """
-    m = len(strings)
-    head = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), np.uint8).reshape(m, SHALLOW)
-    words = head.view(">u8")
-    order = np.lexsort((*[words[:, k] for k in range(SHALLOW // 8 - 1, -1, -1)], group))
-    g, w, b = group[order], words[order], head[order]
-    size = np.array([len(s) for s in strings])
-    common = np.full(m, -1, np.int64)
-    differs = b[1:] != b[:-1]
-    upto = np.where(differs.any(axis=1), differs.argmax(axis=1), SHALLOW)
-    same_group = g[1:] == g[:-1]
-    tied = same_group & (w[1:] == w[:-1]).all(axis=1)
-    begins = np.flatnonzero(tied & ~np.concatenate([[False], tied[:-1]])) if m > 1 else np.zeros(0, np.int64)
-    stops = np.flatnonzero(tied & ~np.concatenate([tied[1:], [False]])) + 2 if m > 1 else begins
-    for a, z in zip(begins.tolist(), stops.tolist(), strict=True):
-        trie = BlindTrie()
-        for k in order[a:z].tolist():
-            trie.insert(strings[k], k)
-        tags, shared = trie.ordered()
-        order[a:z] = tags
-        common[a + 1 : z] = shared[1:]
-    shallow = np.flatnonzero(same_group & ~tied)
-    common[1 + shallow] = np.minimum(upto[shallow], np.minimum(size[order[1 + shallow]], size[order[shallow]]))
-    return order, common
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist() if len(group) else []
+    order: list[int] = []
+    common: list[int] = []
+    for a, z in zip(edges, edges[1:], strict=False):
+        one, shared = _multikey(strings, list(range(a, z)))
+        order += one
+        common += shared
+    return np.array(order, np.int64), np.array(common, np.int64)
 
 
 def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -330,7 +359,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             seeds, ids, subs, ats, large, left, right = [], [], [], [], [], [], []
 
             def out():
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
                 return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((seeds, ids, subs, ats, large, left, right), kinds, strict=True)], names=names)
 
             for i, s, text, asked in zip(*[batch.column(k) for k in range(4)], strict=True):
@@ -351,7 +380,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield out()
 
     joined = docs.join(by_doc, ["id", "sub"]).select("id", "sub", "text", "wanted")
-    return joined.mapInArrow(run, "seed long, id long, sub int, at long, large boolean, left binary, right binary")
+    return joined.mapInArrow(run, "seed long, id long, sub long, at long, large boolean, left binary, right binary")
 
 
 def _sorted_groups(contexts: DataFrame) -> DataFrame:
@@ -381,7 +410,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = contexts.repartition(parts, "seed").sortWithinPartitions("seed", "id", "sub", "at")
-    return together.select("seed", "id", "sub", "at", "left", "right").mapInArrow(run, "id long, sub int, begin long, end long")
+    return together.select("seed", "id", "sub", "at", "left", "right").mapInArrow(run, "id long, sub long, begin long, end long")
 
 
 def _large_groups(contexts: DataFrame) -> DataFrame:
@@ -405,7 +434,7 @@ def _large_groups(contexts: DataFrame) -> DataFrame:
                 columns = [both[:, 0].copy(), both[:, 1].copy(), np.repeat(ids[k], n), np.repeat(subs[k], n), first[k] + np.arange(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["high", "low", "id", "sub", "p"])
 
-    windows = contexts.select("id", "sub", "at", "left", "right", "seed").mapInArrow(run, "high long, low long, id long, sub int, p long")
+    windows = contexts.select("id", "sub", "at", "left", "right", "seed").mapInArrow(run, "high long, low long, id long, sub long, p long")
     kept = windows.groupBy("high", "low").agg(F.min(F.struct("id", "sub", "p")).alias("k")).select("k.*").withColumn("keep", F.lit(True))
     first, last = F.shiftright("at", 14), F.shiftright("at", 14) + F.col("at").bitwiseAND(127)
     every = contexts.select("id", "sub", F.explode(F.sequence(first, last)).alias("p"))
@@ -413,25 +442,36 @@ def _large_groups(contexts: DataFrame) -> DataFrame:
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as (id, sub, text), and one for each (id, sub): rows that repeat an id are told apart by ``sub``, in order
-    of their texts' digests, and share it if those are equal."""
+    """All rows as (id, sub, text), and one for each (id, sub): rows that repeat an id are told apart by ``sub``, the begin of
+    their texts' digests, and share it if those are equal."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     if rows.groupBy("id").count().where("count > 1").limit(1).count():
-        digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-        told = rows.withColumn("sub", F.dense_rank().over(Window.partitionBy("id").orderBy(digest)).cast("int")).select("id", "sub", "text")
+        digest = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("long")  # its first 60 bits, in order
+        told = rows.select("id", digest.alias("sub"), "text")
         return told, told.dropDuplicates(["id", "sub"])
-    plain = rows.select("id", F.lit(0).alias("sub"), "text")
+    plain = rows.select("id", F.lit(0).cast("long").alias("sub"), "text")
     return plain, plain
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large_group: int = LARGE_GROUP) -> DataFrame:
+def _by_size(several: DataFrame, large_group: int) -> DataFrame:
+    """``several`` with ``large``: whether a seed has more contexts than one task sorts."""
+    sizes = materialize(several.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > large_group), "large-seeds")
+    if sizes.isEmpty():
+        return several.withColumn("large", F.lit(False))
+    hot = F.broadcast(sizes.where(F.col("n") * HOT > several.count()).select("seed"))  # under HOT rows
+    rest = several.join(hot, "seed", "left_anti").join(sizes.select("seed", F.lit(True).alias("large")), "seed", "left")
+    every = several.join(hot, "seed").withColumn("large", F.lit(True)).unionByName(rest)
+    return every.withColumn("large", F.coalesce("large", F.lit(False)))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large_group: int = LARGE_GROUP, segment: int = SEGMENT) -> DataFrame:
     """``(id_col, n_bytes, n_removed, n_spans, spans, kept)`` for each row of ``docs``.
 
     A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a document of smaller id, or
     earlier in the same one; overlaps count, and strings are judged on the input. Texts are taken as UTF-8, null as
     empty, and matches never cross documents. ``spans`` are the maximal removed runs (begin, end), ``kept`` the
-    remaining bytes. A null id counts as the largest. Rows that repeat an id are documents in the order of their texts'
-    digests; those with equal texts, too, get equal results. Other columns are not read.
+    remaining bytes. A null id counts as the largest. Rows that repeat an id are documents in the order of the first 60
+    bits of their texts' digests; those with equal texts, too, get equal results. Other columns are not read.
 
     Suffixes are sampled at anchors that depend on nothing but the windows around them. Those whose seed and context are
     unique end there. Of equal contexts the first stays; seeds with several contexts are sorted deep-shallow.
@@ -439,10 +479,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain, unique = _identified(docs, id_col, text_col)
-    shared = materialize(_shared(_anchors(unique)), "shared-anchors")
+    shared = materialize(_shared(_anchors(unique, segment)), "shared-anchors")
     several = shared.where("NOT again")
-    sizes = several.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > large_group).select("seed", F.lit(True).alias("large"))
-    wanted = several.join(sizes, "seed", "left").select("seed", "id", "sub", "at", F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = _by_size(several, large_group).select("seed", "id", "sub", "at", "large")
     contexts = materialize(_contexts(unique.repartition(parts, "id", "sub"), wanted), "contexts")
     whole = shared.where("again").select("id", "sub", F.shiftright("at", 14).alias("begin"), (F.shiftright("at", 14) + F.col("at").bitwiseAND(127) + LENGTH).alias("end"))
     found = _sorted_groups(contexts.where("NOT large")).unionByName(_large_groups(contexts.where("large"))).unionByName(whole)

@@ -60,14 +60,21 @@ def test_rows_equal_brute_force(spark, large_group):
     assert result(sd.remove_repeats(frame(spark, rows), large_group=large_group)) == brute(rows)
 
 
-def test_long_texts_in_segments(spark, monkeypatch):
+@pytest.mark.parametrize("segment", [sd.SEGMENT, 257, 100])
+def test_long_texts_in_segments(spark, segment):
     rng = random.Random(5)
     base = "".join(rng.choices("abcdefgh", k=3000))
     rows = [(1, base), (2, "zz" + base[500:2500] + "q" * 50 + base[:400]), (3, base)]
     data = [t.encode() for _, t in rows]
     whole = sd.sample(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(x) for x in data]))
     assert len(whole[0]) < sum(map(len, data)) * 0.06
-    assert result(sd.remove_repeats(frame(spark, rows))) == brute(rows)
+    assert result(sd.remove_repeats(frame(spark, rows), segment=segment)) == brute(rows)
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    rows = [(1, "same words " * 30), (2, "same words " * 30)]
+    clash = frame(spark, rows).withColumnRenamed("lang", "seed").withColumnRenamed("source", "spans").withColumn("id", F.lit("x")).withColumn("at", F.lit(0))
+    assert result(sd.remove_repeats(clash)) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -77,7 +84,7 @@ def test_empty_table(spark):
 def test_deep_shallow_order_and_common_lengths():
     rng = random.Random(2)
     strings = [bytes(rng.choices(b"ab\x00", k=rng.randint(0, 40))) for _ in range(400)] + [b"a" * k for k in range(60)] + [b"a" * 30] * 3
-    group = np.array([rng.randint(0, 3) for _ in strings])
+    group = np.sort([rng.randint(0, 3) for _ in strings])
     order, common = sd.deep_shallow(group, strings)
     got = [(group[k], strings[k]) for k in order]
     assert got == sorted(got)
