@@ -17,6 +17,8 @@ BUCKETS, MAX_TRAIN, SMOOTHING = 1 << 14, 6000, 0.5
 #: neighbouring trigrams overlap in all but one byte.
 STEPS, BLOCK, OVERLAP = 12, 64, 3
 UNKNOWN = "und"
+#: Parts into which the training sample is dealt for counting, whatever its languages.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -47,32 +49,36 @@ def _part(sizes: list[int], most: int) -> float:
     return float(max(sizes, default=0))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from text and non-null language of about ``MAX_TRAIN`` documents, a sample by a hash of id and text.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
+    """Learn from text and non-null language of about ``max_train`` documents, a sample by a hash of id and text.
 
     Languages have equal parts of the sample; one with fewer rows than its part gives all and leaves the rest to the
     others, so that rare languages are learned at every size. A row is taken if its hash lies under its language's bound:
-    no sorting, and texts stay where they are read until counts are summed per language on Spark. Only rows of counts
-    come to the driver. Without a usable row there are no languages, and every document is unknown.
+    no sorting, and texts stay where they are read until n-grams are counted on Spark. Only sparse counts come to the driver. Without a usable row there are no languages, and every document is unknown.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    part = _part(list(sizes.values()), MAX_TRAIN)
+    part = _part(list(sizes.values()), max_train)
     bounds = docs.sparkSession.createDataFrame([(k, int(min(1.0, part / n) * (1 << 30))) for k, n in sizes.items()], "lang string, bound long")
     some = usable.join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound")).drop("bound")
     some = some.dropDuplicates(["lang", "h"])  # rows that repeat count once, so the sample stays small
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS, np.int64)
-        for text in part.text:
-            total += np.bincount(_buckets(text), minlength=BUCKETS)
-        return pd.DataFrame({"lang": [part.lang.iloc[0]], "n": [total.tolist()]})
-
-    rows = some.groupBy("lang", F.pmod("h", F.lit(16)).alias("part")).applyInPandas(count, "lang string, n array<long>").collect()
+        out = []
+        for lang, own in part.groupby("lang"):
+            total = np.zeros(BUCKETS, np.int64)
+            for text in own.text:
+                total += np.bincount(_buckets(text), minlength=BUCKETS)
+            at = np.flatnonzero(total)
+            out.append((lang, at.astype(np.int32), total[at]))
+        return pd.DataFrame(out, columns=["lang", "at", "n"])
+
+    rows = some.groupBy(F.pmod("h", F.lit(PARTS)).alias("part")).applyInPandas(count, "lang string, at array<int>, n array<long>").collect()
     langs = sorted({r.lang for r in rows})
+    column = {lang: k for k, lang in enumerate(langs)}
     n = np.full((BUCKETS, len(langs)), SMOOTHING)
     for r in rows:
-        n[:, langs.index(r.lang)] += r.n
+        n[np.array(r["at"]), column[r.lang]] += r.n
     return Model(langs, (n / n.sum(axis=0)).astype(np.float32))
 
 

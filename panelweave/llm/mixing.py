@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.lineage import materialize
 
-#: Up to so many sources, the table of rates is broadcast (some MB at most); with more it is joined over salted keys.
-BROADCAST_SOURCES, SALTS = 10_000, 64
+#: Up to so many sources, and numbers of 8 bytes in their tables, these are broadcast; beyond, joined over salted keys.
+BROADCAST_SOURCES, BROADCAST_NUMBERS, SALTS = 10_000, 2_000_000, 64
+#: Copies of a row that one task makes in a row.
+COPY_BLOCK = 1024
 #: Names of the columns that replication adds.
 ADDED = ["rate", "n_copies", "copy_no", "shuffle_key"]
 
@@ -72,16 +74,26 @@ def replicate(
     rows = plain.toDF(*own)
     an_id, source = (F.col(own[plain.columns.index(c)]) for c in (id_col, source_col))
     same = source.eqNullSafe(F.col("_source"))
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    tables = rates.agg(F.count("*").alias("n"), F.sum(F.size("_cdf")).alias("numbers"), F.max(F.col("_least") + F.size("_cdf")).alias("most")).first()
+    if tables.n <= BROADCAST_SOURCES and (tables.numbers or 0) <= BROADCAST_NUMBERS:
         rated = rows.join(F.broadcast(rates), same)
     else:
         salted = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
         rated = rows.join(salted, same & (F.pmod(F.xxhash64(an_id), F.lit(SALTS)).cast("int") == F.col("_salt"))).drop("_salt")
     uniform = _bits(13, F.lit(seed), an_id) / F.lit(float(1 << 52))
     drawn = rated.withColumn("_u", uniform).withColumn("n_copies", F.col("_least") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-    copies = drawn.where("n_copies > 0").select(*own, "rate", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
-    keyed = copies.withColumn("shuffle_key", _bits(15, F.lit(seed), an_id, F.col("copy_no")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = drawn.where("n_copies > 0").select(*own, "rate", "n_copies")
+    first = F.lit(1).cast("long")
+    if (tables.most or 0) > COPY_BLOCK:  # so many copies are dealt to tasks by blocks before they are made
+        blocks = many.withColumn("_block", F.explode(F.sequence(first * 0, F.expr(f"(n_copies - 1) div {COPY_BLOCK}"))))
+        many = blocks.repartition(parts, an_id, "_block")
+        first = F.col("_block") * COPY_BLOCK + 1
+        last = F.least(F.col("n_copies"), first + (COPY_BLOCK - 1))
+    else:
+        last = F.col("n_copies")
+    copies = many.select(*own, "rate", "n_copies", F.explode(F.sequence(first, last)).alias("copy_no"))
+    keyed = copies.withColumn("shuffle_key", _bits(15, F.lit(seed), an_id, F.col("copy_no")))
     return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key").toDF(*plain.columns, *ADDED)
 
 

@@ -61,6 +61,29 @@ def tails(model: Model, margin: np.ndarray) -> np.ndarray:
     return _sigmoid(margin[:, None] - model.thresholds[None, :])
 
 
+def _cuts(params: np.ndarray) -> np.ndarray:
+    """Thresholds from a start and the logarithms of the steps between them."""
+    return np.concatenate([params[DIMS : DIMS + 1], np.exp(params[DIMS + 1 :])]).cumsum()
+
+
+def _slope(params: np.ndarray, owner: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, grades: int) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with its ridge, and its gradient, over the sparse rows (owner, col, val)."""
+    n, rows, w = len(grade), np.arange(len(grade)), params[:DIMS]
+    margin = np.bincount(owner, w[col] * val, n)
+    above = np.hstack([np.ones((n, 1)), _sigmoid(margin[:, None] - _cuts(params)), np.zeros((n, 1))])
+    hi, lo = above[rows, grade], above[rows, grade + 1]  # P(>= g), P(>= g + 1)
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, -lo * (1 - lo) / p
+    d_margin = (d_hi + d_lo) / n
+    d_cuts = np.zeros(grades + 1)
+    np.add.at(d_cuts, grade, -d_hi / n)
+    np.add.at(d_cuts, grade + 1, -d_lo / n)
+    d_theta = d_cuts[1:grades][::-1].cumsum()[::-1].copy()
+    d_theta[1:] *= np.exp(params[DIMS + 1 :])
+    loss = -np.log(p).mean() + RIDGE / 2 * (w @ w)
+    return loss, -np.concatenate([np.bincount(col, d_margin[owner] * val, DIMS) - RIDGE * w, d_theta])
+
+
 def fit_rows(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grades: int) -> Model:
     """Maximum penalised likelihood by Adam over all rows at once; thresholds stay ordered as a start and positive steps."""
     owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
@@ -70,40 +93,24 @@ def fit_rows(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grade
     share = np.bincount(grade, minlength=grades) / len(grade)
     start = np.clip(1 - np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
     base = np.maximum.accumulate(-np.log(start / (1 - start)))
-    theta = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
-    params = np.concatenate([np.zeros(DIMS), theta])
+    params = np.concatenate([np.zeros(DIMS), base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    rows = np.arange(len(grade))
     for step in range(1, STEPS + 1):
-        w, cuts = params[:DIMS], np.concatenate([params[DIMS : DIMS + 1], np.exp(params[DIMS + 1 :])]).cumsum()
-        margin = np.bincount(owner, w[col] * val, len(grade))
-        above = np.hstack([np.ones((len(grade), 1)), _sigmoid(margin[:, None] - cuts), np.zeros((len(grade), 1))])
-        hi, lo = above[rows, grade], above[rows, grade + 1]  # P(>= g), P(>= g + 1)
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p, -lo * (1 - lo) / p
-        d_margin = (d_hi + d_lo) / len(grade)
-        d_cuts = np.zeros(grades + 1)
-        np.add.at(d_cuts, grade, -d_hi / len(grade))
-        np.add.at(d_cuts, grade + 1, -d_lo / len(grade))
-        d_cuts = d_cuts[1:grades]
-        d_theta = d_cuts[::-1].cumsum()[::-1]
-        d_theta[1:] *= np.exp(params[DIMS + 1 :])
-        g = -np.concatenate([np.bincount(col, d_margin[owner] * val, DIMS) - RIDGE * w, d_theta])
+        _, g = _slope(params, owner, col, val, grade, grades)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    cuts = np.concatenate([params[DIMS : DIMS + 1], np.exp(params[DIMS + 1 :])]).cumsum()
-    return Model(params[:DIMS].astype(np.float32), cuts)
+    return Model(params[:DIMS].astype(np.float32), _cuts(params))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: Column | str = "grade") -> Model:
-    """Learn from the documents of ``ratings`` (id_col, grade 0, 1, ...), about ``MAX_TRAIN``, an even sample by a hash of the id.
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: Column | str = "grade", max_train: int = MAX_TRAIN) -> Model:
+    """Learn from the documents of ``ratings`` (id_col, grade 0, 1, ...), about ``max_train``, an even sample by a hash of the id.
 
     Null grades and documents without a rating are left out, and a document with several counts with the least. Text is
     hashed on Spark; the driver gets the bounded sample's sparse features. Without two grades the weights are zero.
     """
     rated = ratings.select(F.col(id_col).alias("id"), (F.col(grade) if isinstance(grade, str) else grade).cast("int").alias("grade"))
     rated = rated.where("id IS NOT NULL AND grade >= 0").groupBy("id").agg(F.min("grade").alias("grade"))
-    bound = min(1.0, MAX_TRAIN / max(1, rated.count()))
+    bound = min(1.0, max_train / max(1, rated.count()))
     some = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(bound * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id").dropDuplicates(["id"])
 
@@ -111,13 +118,13 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
         buckets = _Buckets()
         for part in parts:
             both = [features(t, buckets) for t in part.text]
-            yield pd.DataFrame({"id": part.id, "grade": part.grade, "at": [a.astype(np.int32).tobytes() for a, _ in both], "x": [x.astype(np.float32).tobytes() for _, x in both]})
+            yield pd.DataFrame({"grade": part.grade, "at": [a.astype(np.int32).tobytes() for a, _ in both], "x": [x.astype(np.float32).tobytes() for _, x in both]})
 
-    rows = sorted(texts.mapInPandas(run, "id long, grade int, at binary, x binary").collect(), key=lambda r: (r.id, r.grade, bytes(r.at)))
+    rows = sorted(texts.mapInPandas(run, "grade int, at binary, x binary").collect(), key=lambda r: (r.grade, bytes(r["at"]), bytes(r.x)))
     grades = max((r.grade for r in rows), default=0) + 1
     if len({r.grade for r in rows}) < 2:
         return Model(np.zeros(DIMS, np.float32), np.zeros(max(1, grades - 1)))
-    at, x = [np.frombuffer(r.at, np.int32) for r in rows], [np.frombuffer(r.x, np.float32) for r in rows]
+    at, x = [np.frombuffer(r["at"], np.int32) for r in rows], [np.frombuffer(r.x, np.float32) for r in rows]
     return fit_rows(at, x, np.array([r.grade for r in rows]), grades)
 
 

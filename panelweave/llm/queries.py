@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +12,12 @@ from panelweave.sources.tables import table
 
 
 def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents, judged within their language and source."""
     return outliers.judge(table(spark, sf_dir, "documents"))
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; those held out and rows without a language are not learned from."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.is_held_out()))
     found = langid.identify(docs.withColumn("_id", F.struct("doc_id", langid.is_held_out().alias("held_out"))), model, "_id")
@@ -24,10 +25,12 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents; the largest id stays."""
     return exact_dedup.group_texts(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then the scores of a model of labelled urls, for every page."""
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
@@ -45,20 +48,24 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the classes that links of three bits or fewer reach."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents before, and without, those that an earlier document holds."""
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a string of 100 bytes covers which also starts earlier."""
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and what they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
@@ -74,7 +81,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -67,10 +68,58 @@ def test_empty_tables_and_no_labels(spark):
     assert frame(spark, [(None, "a")]).select(langid.is_held_out()).first()[0] is None
 
 
-def test_rare_languages_are_learned_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_TRAIN", 60)
+def test_rare_languages_are_learned_at_every_size(spark):
     rows = [(k, f"the common words number {k}", "aa", "s") for k in range(6000)] + [(-k, f"zyx wvu qrs {k}", "zz", "s") for k in range(1, 21)]
-    model = langid.fit(frame(spark, rows))
+    model = langid.fit(frame(spark, rows), max_train=60)
     assert model.langs == ["aa", "zz"]
-    rare = langid.fit(frame(spark, [r for r in rows if r[2] == "zz"]))
+    rare = langid.fit(frame(spark, [r for r in rows if r[2] == "zz"]), max_train=60)
     assert np.array_equal(model.p[:, 1], rare.p[:, 0])  # all of its rows
+
+
+def brute_mixture(model, text):
+    """Expectation-maximisation in plain loops over every nested set of languages, for one text."""
+    counts = {}
+    raw = (" " + text.lower() + " ").encode()
+    for k in range(len(raw) - 2):
+        gram = raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16
+        bucket = gram * 0x9E3779B1 % 2**32 >> 32 - langid.BUCKETS.bit_length() + 1
+        counts[bucket] = counts.get(bucket, 0) + 1
+    grams = [(model.p[b].astype(float), n / langid.OVERLAP) for b, n in counts.items()]
+    total, k = sum(n for _, n in grams), len(model.langs)
+
+    def em(allowed):
+        share = [1 / len(allowed) if j in allowed else 0.0 for j in range(k)]
+        for _ in range(langid.STEPS):
+            new = [0.0] * k
+            for p, n in grams:
+                whole = sum(p[j] * share[j] for j in range(k))
+                for j in allowed:
+                    new[j] += n * p[j] * share[j] / whole
+            share = [v / total for v in new]
+        return share, sum(n * math.log(sum(p[j] * share[j] for j in range(k))) for p, n in grams)
+
+    full, _ = em(range(k))
+    order = sorted(range(k), key=lambda j: -full[j])
+    alone = [sum(n * math.log(p[j]) for p, n in grams) for j in range(k)]
+    best = max(range(k), key=lambda j: alone[j])
+    found, value = [1.0 * (j == best) for j in range(k)], alone[best]
+    for size in range(2, k + 1):
+        share, likely = em(order[:size])
+        if likely - (size - 1) * math.log(max(total, 2)) / 2 > value:
+            found, value = share, likely - (size - 1) * math.log(max(total, 2)) / 2
+    return found
+
+
+def test_shares_equal_plain_expectation_maximisation(spark):
+    rng = random.Random(7)
+    model = langid.fit(frame(spark, rows(rng, 300)))
+    texts = [" ".join(" ".join(rng.choices(VOCAB[lang], k=rng.randint(1, 25))) for lang in rng.sample(list(VOCAB), rng.randint(1, 3))) for _ in range(60)] + ["x", "é", "the"]
+    got = langid.infer(model, texts)
+    for text, share in zip(texts, got, strict=True):
+        assert np.allclose(share, brute_mixture(model, text), atol=2e-3), text
+
+
+def test_ties_go_to_the_first_language_by_name(spark):
+    docs = frame(spark, [(k, "one and the same text", lang, "s") for k, lang in enumerate(["zz", "aa", "mm"])])
+    got = langid.identify(docs.withColumn("score", docs.doc_id).withColumn("languages", docs.lang).withColumn("id", docs.lang), langid.fit(docs)).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and all(r.score == 1.0 for r in got)

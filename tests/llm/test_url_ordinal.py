@@ -1,8 +1,11 @@
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from util import frame
 
 from panelweave.llm import ordinal, url_filter
@@ -38,9 +41,22 @@ def test_parts_rules_and_verdicts(spark):
         rule, verdict = brute_rule(r.host, r.path)
         assert r.rule == rule
         assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
-    by_url = {r.url: r for r in got}
-    assert by_url["https://casino-win.a.net/en/7"].verdict == by_url["https://www.cheap-pills.b.net/en/9"].verdict == "block"
-    assert by_url["https://theren.b.net/en/9"].verdict == "allow"
+
+
+HELD_OUT = {
+    "block": "megacasino casino-palace slotsheaven online-poker betwinner livebets adultcams sexvideos xxxmovies cheapviagra pharmapills rx-pills spamserver adstracker clickads bannerclicks payday-cash freemoney torrents warez-files".split(),
+    "allow": "universityofx citymuseum newsarchive weather-today libraryofy physicsnotes cookingclub bakery historyblog hospitals railways python-tutorial databases photographers theatres poetry gardens cyclists dictionaryx musicschool".split(),
+}
+
+
+def test_hosts_that_were_never_labelled(spark):
+    """Accuracy on names that are in no label: 0.9 or more, and the labels hold none of the test tables' unwanted hosts."""
+    assert not {n for names in HELD_OUT.values() for n in names} & {*url_filter.BLOCKED, *url_filter.ALLOWED}
+    rows = [(k, f"https://{name}.net/p/{k}", want) for want, names in HELD_OUT.items() for k, name in enumerate(names)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id int, url string, want string")).collect()
+    wrong = [r.host for r in got if r.verdict != r.want]
+    print(wrong)
+    assert len(wrong) <= len(rows) // 10
 
 
 def test_training_equals_gradient_steps_in_plain_python(spark):
@@ -66,9 +82,16 @@ def test_url_bounds_and_empty_tables(spark):
     assert url_filter.judge(empty).count() == 0
     none = url_filter.fit(spark.createDataFrame([], "url string, blocked int"))
     assert none[1] == 0.0 and not any(none[0])
-    many = spark.range(url_filter.MAX_LABELLED + 1).selectExpr("concat('http://h', id) AS url", "1 AS blocked")
-    with pytest.raises(ValueError):
-        url_filter.fit(many)
+    many = spark.range(600).selectExpr("concat('http://', if(id % 2 = 0, 'bad', 'fine'), id, '.net') AS url", "1 - id % 2 AS blocked")
+    weights, _ = url_filter.fit(many, 256, max_labelled=40)  # a sample by hash
+    assert any(weights)
+
+
+def test_labels_without_a_common_ngram(spark):
+    """Pairs of urls that share nothing have an inner product all the same; urls without any n-gram are rows, too."""
+    rows = [("x", 1), ("http://abcd", 1), ("http://wxyz", 0), (None, 0), ("http://abcd", None)]
+    weights, bias = url_filter.fit(spark.createDataFrame(rows, "url string, blocked int"), 64)
+    assert np.isfinite(weights).all() and np.isfinite(bias) and any(weights)
 
 
 def graded(rng, n):
@@ -100,15 +123,57 @@ def test_ordinal_grades_on_held_out_documents(spark):
 
 
 def test_ordinal_gradient_is_that_of_the_likelihood():
+    """The gradient by differences of the plain likelihood, and a fit that ends where it nearly vanishes."""
     rng = np.random.default_rng(3)
     at = [np.sort(rng.choice(30, 6, replace=False)) for _ in range(200)]
-    x = [np.ones(6) for _ in at]
+    x = [rng.random(6) + 0.5 for _ in at]
     grade = np.array([int(a.sum() > 75) + int(a.sum() > 95) for a in at])
+    owner, col, val = np.repeat(np.arange(200), 6), np.concatenate(at), np.concatenate(x)
+    params = np.zeros(ordinal.DIMS + 2)
+    params[:30], params[-2:] = rng.normal(size=30) / 3, (0.3, -0.2)
+
+    def plain(q):
+        total, cuts = 0.0, [q[-2], q[-2] + np.exp(q[-1])]
+        for a, v, g in zip(at, x, grade, strict=True):
+            above = [1.0, *[1 / (1 + np.exp(-(sum(q[a] * v) - c))) for c in cuts], 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total / 200 + ordinal.RIDGE / 2 * (q[:30] ** 2).sum()
+
+    loss, slope = ordinal._slope(params, owner, col, val, grade, 3)
+    assert abs(loss - plain(params)) < 1e-9 and not slope[30 : ordinal.DIMS].any()
+    for k in (0, 7, 29, ordinal.DIMS, ordinal.DIMS + 1):
+        step = np.zeros_like(params)
+        step[k] = 1e-5
+        assert abs((plain(params + step) - plain(params - step)) / 2e-5 - slope[k]) < 1e-7
     model = ordinal.fit_rows(at, x, grade, 3)
-    margin = np.array([model.weights[a].sum() for a in at])
-    p = ordinal.tails(model, margin)
-    assert (p[:, 0] >= p[:, 1]).all()
-    assert np.corrcoef(p.sum(axis=1), grade)[0, 1] > 0.8
+    end = np.concatenate([model.weights.astype(float), model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    assert np.abs(ordinal._slope(end, owner, col, val, grade, 3)[1]).max() < 0.01
+    p = ordinal.tails(model, np.array([model.weights[a] @ v for a, v in zip(at, x, strict=True)]))
+    most = np.bincount(grade).max() / len(grade)
+    assert (p[:, 0] >= p[:, 1]).all() and np.mean((p >= 0.5).sum(axis=1) == grade) > most + 0.2
+
+
+def test_ordinal_grades_equal_plain_sums_on_long_tied_and_clashing_rows(spark):
+    rng = random.Random(4)
+    rows, grades = graded(rng, 120)
+    rows += [(900, "fine lucid plain!! " * 40_000), (901, "fine"), (901, "fine"), (902, " \n\t ")]
+    docs = frame(spark, rows).withColumnRenamed("lang", "tail_prob").withColumnRenamed("source", "kept").withColumn("grade", F.lit(9)).withColumn("id", F.lit("x"))
+    model = ordinal.fit(docs, spark.createDataFrame(grades, "doc_id long, grade int"))
+
+    def plain(text):
+        words, counts = text.lower().split(), {}
+        tenth = f"distinct {10 * len(set(words)) // len(words)}" if words else "empty"
+        for x in [tenth, *[y for w in words for y in (w.strip(ordinal.PUNCTUATION), "end " + w[len(w.rstrip(ordinal.PUNCTUATION)) :]) if y not in ("", "end ")]]:
+            b = zlib.crc32(x.encode()) % ordinal.DIMS
+            counts[b] = counts.get(b, 0) + 1
+        margin = sum(float(model.weights[b]) * (1 + math.log(n)) for b, n in counts.items())
+        return [1 / (1 + math.exp(-(margin - c))) for c in model.thresholds]
+
+    want = sorted((i, round(sum(plain(t)), 5), round(plain(t)[1], 5)) for i, t, *_ in rows)
+    got = ordinal.grade_documents(docs, model).collect()
+    assert np.allclose(sorted((r.doc_id, r.expected_grade, r.tail_prob) for r in got), want, atol=2e-4)
+    tied = ordinal.Model(np.zeros(ordinal.DIMS, np.float32), np.array([-1.0, 0.0]))  # a tail of one half is kept
+    assert all(r.kept and r.tail_prob == 0.5 for r in ordinal.grade_documents(docs, tied).collect())
 
 
 def test_ordinal_without_ratings(spark):
