@@ -22,6 +22,7 @@ TAU_SENSITIVITY = {5: (10, 15, 20), 30: (15, 30, 45), 90: (60, 90, 120)}
 SEASONS = {"annual": None, "spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11), "winter": (12, 1, 2)}
 MIN_CLUSTER_FRACTION, MIN_TOTAL_FRACTION, MIN_FLUX_RATIO = 0.001, 0.01, 0.60
 GI_Z, GI_P = 1.96, 0.05
+COMPOSITE_SEASONS = {5: ("spring", "summer", "autumn", "winter"), 30: ("autumn", "winter"), 90: ("autumn", "winter")}
 LEAD_LAG_WINDOWS = {5: (-15, 30), 30: (-30, 60), 90: (-90, 180)}
 SMOOTHING_WINDOWS = {5: 3, 30: 15, 90: 45}
 EARTH_RADIUS_KM = 6371.0

@@ -50,6 +50,24 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - upper).otherwise(upper)
 
 
+def normal_cdf_array(z: np.ndarray) -> np.ndarray:
+    """:func:`normal_cdf` over an array."""
+    x = np.abs(z)
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = np.exp(-x * x / 2) * _horner(_N, x) / _horner(_M, x)
+        far = np.exp(-x * x / 2) / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65))))) / 2.506628274631
+    upper = np.where(x > 37, 0.0, np.where(x < 7.07106781186547, near, far))
+    return np.where(z > 0, 1 - upper, upper)
+
+
+def normal_ppf_array(p: np.ndarray) -> np.ndarray:
+    """:func:`normal_ppf` over an array of probabilities inside (0, 1)."""
+    q, low = p - 0.5, np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+    middle = q * _horner(_A, q * q) / _horner(_B, q * q)
+    tail = _horner(_C, low) / _horner(_D, low)
+    return np.where(p < 0.02425, tail, np.where(p > 1 - 0.02425, -tail, middle))
+
+
 def log_gamma(x: Column) -> Column:
     """Logarithm of the gamma function for positive arguments."""
     y, t = x - 1, x + 6.5

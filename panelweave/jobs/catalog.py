@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from panelweave.config import BURN_IN_DAYS, FIXTURE, N_SURROGATES, SEASONS
 from panelweave.functions.lineage import materialize
+from panelweave.jobs import stages
 from panelweave.operators import composite, derive, events, fitting, network, spatial, standardize, surrogate, sync
 from panelweave.sources import panel as src
 from panelweave.sources.tables import table
 
 P = FIXTURE
-#: Fixed polygon for the mask query, as (lon, lat).
-RING = [(100.1, 20.15), (101.7, 20.05), (101.9, 20.55), (101.2, 20.35), (101.0, 20.9), (100.3, 20.7)]
+#: Fixed polygon for the mask query, as rings of (lon, lat).
+RINGS = [
+    [(100.1, 20.15), (101.7, 20.05), (101.9, 20.55), (101.2, 20.35), (101.0, 20.9), (100.3, 20.7)],
+    [(100.4, 20.25), (100.9, 20.22), (100.8, 20.5), (100.5, 20.55)],  # a hole
+    [(99.0, 20.0), (99.8, 20.0), (99.4, 20.8)],  # another part
+]
 #: Source and sink regions of the composites, as folds of the node number.
 SOURCE_FOLD, SINK_FOLD, FOLDS = 0, 1, 3
 SWEEP_THRESHOLDS, SWEEP_TAUS, SWEEP_SURROGATES = (-0.5, -1.0, -1.5), (10, 15, 30), N_SURROGATES
@@ -44,13 +49,19 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.strength(sync.sync_pairs(materialize(_onsets(spark, sf_dir), "onsets"), P.tau))
 
 
-def _critical(pairs: DataFrame, days: int) -> DataFrame:
-    return surrogate.critical_values(pairs, days, P.tau, P.surrogates)
+def _critical(counts: DataFrame, days: int) -> DataFrame:
+    return surrogate.critical_values(counts, days, P.tau, P.surrogates)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(sync.valid_counts(_onsets(spark, sf_dir)), "counts")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = materialize(_pairs(spark, sf_dir), "pairs")
-    return surrogate.significant_edges(pairs, _critical(pairs, _days(spark, sf_dir)))
+    """Only pairs that met at all are looked at, and only significant ones come back."""
+    onsets = materialize(_onsets(spark, sf_dir), "onsets")
+    pairs = sync.strength(sync.met_pairs(onsets, P.tau))
+    return materialize(surrogate.significant_edges(pairs, _critical(sync.valid_counts(onsets), _days(spark, sf_dir))), "edges")
 
 
 def panel_daily(spark, sf_dir):
@@ -97,15 +108,7 @@ def spi(spark, sf_dir):
 
 def gof_summary(spark, sf_dir):
     """Medians of the goodness of fit over cells."""
-    fits = fitting.fit_cells(_acc(spark, sf_dir))
-    return fits.where("dist_id >= 0").agg(
-        F.lit(P.scale).alias("scale_days"),
-        F.count("*").alias("valid_cells"),
-        F.median("zero_fraction").alias("median_zero_fraction"),
-        F.median("ppcc").alias("median_selected_ppcc"),
-        F.median("ks_d_upper").alias("median_selected_ks_d"),
-        F.median("ad_a2").alias("median_selected_ad_a2"),
-    )
+    return stages.fit_medians(fitting.fit_cells(_acc(spark, sf_dir))).select(F.lit(P.scale).alias("scale_days"), "*")
 
 
 def log_scores(spark, sf_dir):
@@ -139,11 +142,11 @@ def sync_strength(spark, sf_dir):
 
 
 def surrogate_draws(spark, sf_dir):
-    return surrogate.draws(surrogate.combinations(_pairs(spark, sf_dir)), _days(spark, sf_dir), P.surrogates).withColumn("k", F.col("k").cast("long"))
+    return surrogate.draws(surrogate.combinations(_counts(spark, sf_dir)), _days(spark, sf_dir), P.surrogates).withColumn("k", F.col("k").cast("long"))
 
 
 def critical_values(spark, sf_dir):
-    return _critical(materialize(_pairs(spark, sf_dir), "pairs"), _days(spark, sf_dir))
+    return _critical(_counts(spark, sf_dir), _days(spark, sf_dir))
 
 
 def significant_edges(spark, sf_dir):
@@ -290,12 +293,27 @@ def _points(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat"))
 
 
+def _boundary(spark):
+    rows = [(k, place, x, y) for k, ring in enumerate(RINGS) for place, (x, y) in enumerate(ring)]
+    return spatial.polygon_edges(spark.createDataFrame(rows, "ring int, place int, x double, y double"))
+
+
 def nearest_pixel(spark, sf_dir):
     return composite.nearest_cells(_points(spark, sf_dir), src.grid(spark, sf_dir)).select("c_custkey", "lat_idx", "lon_idx")
 
 
 def polygon_mask(spark, sf_dir):
-    return _points(spark, sf_dir).select("c_custkey", spatial.inside_polygon(F.col("lon"), F.col("lat"), RING).alias("inside"))
+    return spatial.inside_polygon(_points(spark, sf_dir), _boundary(spark), "c_custkey")
+
+
+def land_cells(spark, sf_dir):
+    """Cells of the grid whose centre is inside the boundary."""
+    return spatial.cells_inside(src.grid(spark, sf_dir), _boundary(spark))
+
+
+def network_metrics(spark, sf_dir):
+    """All metrics of the network in one aggregation."""
+    return network.metrics(_edges(spark, sf_dir), src.grid(spark, sf_dir))
 
 
 def vpd(spark, sf_dir):
@@ -327,12 +345,13 @@ def sensitivity_sweep(spark, sf_dir):
         every = every.unionByName(part)
     by = ("threshold", "season", "tau")
     cases = materialize(every.withColumn("tau", F.explode(F.array(*map(F.lit, SWEEP_TAUS)))), "case-onsets")
-    pairs = materialize(sync.strength(sync.sync_pairs(cases, "tau", by)), "case-pairs")
-    critical = surrogate.critical_values(pairs, events.season_lengths(axis, SEASONS), "tau", SWEEP_SURROGATES, by)
+    counts = materialize(sync.valid_counts(cases, by), "case-counts")
+    pairs = sync.strength(sync.met_pairs(cases, "tau", by))
+    critical = surrogate.critical_values(counts, events.season_lengths(axis, SEASONS), "tau", SWEEP_SURROGATES, by)
     edges = surrogate.significant_edges(pairs, critical, by)
     n = grid.count()
     degrees = edges.groupBy(*by).agg((2 * F.count_if("sig_strength") / F.lit(float(n * max(1, n - 1)))).alias("mean_dc"))
-    nodes = sync.valid_counts(cases, by).groupBy(*by).agg(F.count("*").alias("valid_nodes"))
+    nodes = counts.groupBy(*by).agg(F.count("*").alias("valid_nodes"))
     return nodes.join(degrees, list(by), "left").select(*by, F.coalesce("mean_dc", F.lit(0.0)).alias("mean_dc"), "valid_nodes")
 
 
@@ -340,7 +359,7 @@ NAMES = """panel_daily rolling_accumulation zero_fraction gamma_fit lognormal_fi
 log_scores drought_runs event_counts rapid_onset season_events sync_pairs sync_strength surrogate_draws critical_values significant_edges
 degree_centrality weighted_degree sync_distance net_divergence net_divergence_weighted network_summary betweenness lat_profile lon_profile
 queen_weights gi_star hotspot_clusters source_sink_flux source_sink_pathway region_labels climatology anomaly event_windows composite_mean
-centered_smoothing nearest_pixel polygon_mask vpd bowen haversine sensitivity_sweep""".split()
+centered_smoothing nearest_pixel polygon_mask land_cells network_metrics vpd bowen haversine sensitivity_sweep""".split()
 
 #: Digits to which columns whose sums depend on the order of rows are rounded.
 DIGITS = {
@@ -356,6 +375,7 @@ DIGITS = {
     "weighted_degree": {"dc_w": 9},
     "sync_distance": {"msd": 6, "msd_w": 6},
     "net_divergence_weighted": {"in_strength": 9, "out_strength": 9, "nd_w": 9},
+    "network_metrics": {"dc": 9, "dc_w": 9, "msd": 6, "msd_w": 6, "in_strength": 9, "out_strength": 9, "nd_w": 9},
     "lat_profile": {"mean_dc": 9},
     "lon_profile": {"mean_dc": 9},
     "queen_weights": {"weight": 9},

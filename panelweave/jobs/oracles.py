@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelweave.config import BURN_IN_DAYS, FIXTURE, MIN_EVENTS, SEASONS, SURROGATE_QUANTILE
 from panelweave.functions import special
-from panelweave.jobs.catalog import DIGITS, FOLDS, RING, SINK_FOLD, SOURCE_FOLD, SWEEP_SURROGATES, SWEEP_TAUS, SWEEP_THRESHOLDS
+from panelweave.jobs.catalog import DIGITS, FOLDS, RINGS, SINK_FOLD, SOURCE_FOLD, SWEEP_SURROGATES, SWEEP_TAUS, SWEEP_THRESHOLDS
 from panelweave.operators import surrogate
 
 P = FIXTURE
@@ -107,7 +107,7 @@ CTES["combos_sized"] = "SELECT combos.*, days AS season_length FROM combos, span
 CTES["draws"] = _draws("combos_sized", P.surrogates)
 CTES["draws_late"] = _late("draws")
 CTES["critical"] = _critical("combos", "draws", P.surrogates, str(P.tau))
-CTES["edges"] = "SELECT i, j, q_strength, q_asym, j_j2i + j_i2j > crit_sum AS sig_strength, abs(j_j2i - j_i2j) > crit_diff AS sig_asym FROM pairs p JOIN critical c ON least(p.ni, p.nj) = c.ni AND greatest(p.ni, p.nj) = c.nj"
+CTES["edges"] = "SELECT i, j, q_strength, q_asym, j_j2i + j_i2j > crit_sum AS sig_strength, abs(j_j2i - j_i2j) > crit_diff AS sig_asym FROM pairs p JOIN critical c ON least(p.ni, p.nj) = c.ni AND greatest(p.ni, p.nj) = c.nj WHERE j_j2i + j_i2j > crit_sum OR abs(j_j2i - j_i2j) > crit_diff"
 CTES["mirror"] = "SELECT i AS node_id, j AS other, q_asym, q_strength, sig_strength, sig_asym FROM edges UNION ALL SELECT j, i, -q_asym, q_strength, sig_strength, sig_asym FROM edges"
 _CELLS = "(SELECT count(*) FROM grid)"
 CTES["degrees"] = f"SELECT g.node_id, count(other) / ({_CELLS} - 1)::DOUBLE AS dc FROM grid g LEFT JOIN (SELECT * FROM mirror WHERE sig_strength) b ON g.node_id = b.node_id GROUP BY g.node_id"
@@ -185,9 +185,10 @@ def _haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
 
 def _crossings() -> str:
     out = []
-    for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1], strict=True):
-        if y1 != y2:
-            out.append(f"(CASE WHEN ({y1} > lat) <> ({y2} > lat) AND lon < (lat - {y1}) * {(x2 - x1) / (y2 - y1)!r}::DOUBLE + {x1} THEN 1 ELSE 0 END)")
+    for ring in RINGS:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if y1 != y2:
+                out.append(f"(CASE WHEN ({y1} > lat) <> ({y2} > lat) AND lon < (lat - {y1}) * {(x2 - x1) / (y2 - y1)!r}::DOUBLE + {x1} THEN 1 ELSE 0 END)")
     return " + ".join(out)
 
 
@@ -251,6 +252,14 @@ ORACLES = {
     "centered_smoothing": _with(f"SELECT variable, region, lag, avg(mean_anomaly) OVER w AS mean_anomaly, avg(standard_error) OVER w AS standard_error, n_events FROM composites WINDOW w AS (PARTITION BY variable, region ORDER BY lag ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING)"),
     "nearest_pixel": _with("SELECT c_custkey, (SELECT lat_idx FROM grid ORDER BY abs(grid.lat - points.lat), lat_idx LIMIT 1) AS lat_idx, (SELECT lon_idx FROM grid ORDER BY abs(grid.lon - points.lon), lon_idx LIMIT 1) AS lon_idx FROM points"),
     "polygon_mask": _with(f"SELECT c_custkey, ({_crossings()}) % 2 = 1 AS inside FROM points"),
+    "land_cells": _with(f"SELECT node_id FROM grid WHERE ({_crossings()}) % 2 = 1"),
+    "network_metrics": _with(
+        f"""SELECT grid.node_id, coalesce(dc, 0) AS dc, coalesce(dc_w, 0) AS dc_w, coalesce(msd, 0) AS msd, coalesce(msd_w, 0) AS msd_w, coalesce(a, 0) AS in_degree, coalesce(z, 0) AS out_degree, coalesce(a - z, 0) AS nd,
+        coalesce(s, 0) AS in_strength, coalesce(o, 0) AS out_strength, coalesce(s, 0) - coalesce(o, 0) AS nd_w FROM grid LEFT JOIN (SELECT node_id, count(*) FILTER (sig_strength) / ({_CELLS} - 1)::DOUBLE AS dc, sum(q_strength) FILTER (sig_strength) / ({_CELLS} - 1)::DOUBLE AS dc_w,
+          avg(d) FILTER (sig_strength) AS msd, sum(d * q_strength) FILTER (sig_strength) / sum(q_strength) FILTER (sig_strength) AS msd_w, count(*) FILTER (sig_asym AND q_asym > 0) AS a, count(*) FILTER (sig_asym AND q_asym < 0) AS z,
+          sum(q_asym) FILTER (sig_asym AND q_asym > 0) AS s, -sum(q_asym) FILTER (sig_asym AND q_asym < 0) AS o FROM (
+          SELECT b.*, 2 * 6371.0 * asin(sqrt(least(1.0, {_haversine('g.lon', 'g.lat', 'h.lon', 'h.lat')}))) AS d FROM mirror b JOIN grid g ON b.node_id = g.node_id JOIN grid h ON b.other = h.node_id) GROUP BY 1) USING (node_id)"""
+    ),
     "vpd": "SELECT l_orderkey, l_linenumber, es AS es_kpa, es * (1 - 1000 * l_discount / 100) AS vpd_kpa FROM (SELECT *, 0.6108 * exp(17.27 * (l_quantity - 10) / (l_quantity - 10 + 237.3)) AS es FROM lineitem)",
     "bowen": "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0 THEN l_extendedprice / l_tax END AS bowen FROM lineitem",
     "haversine": _with(f"SELECT c_custkey, 2 * 6371.0 * atan2(sqrt({_A}), sqrt(1 - {_A})) AS km_atan, 2 * 6371.0 * asin(sqrt(least(1.0, {_A}))) AS km_asin FROM (SELECT p.*, g.lat AS lat2, g.lon AS lon2 FROM points p JOIN grid g USING (node_id))"),

@@ -37,7 +37,7 @@ def onset_days(onsets: DataFrame, regions: DataFrame, region: str, lag_min: int,
 def event_windows(means: DataFrame, starts: DataFrame, lag_min: int, lag_max: int) -> DataFrame:
     """``means`` at every lag of every start: (..., start, lag, value), from the pre-aggregated daily means."""
     wanted = starts.withColumn("lag", F.explode(F.sequence(F.lit(lag_min), F.lit(lag_max)))).withColumn("t", F.col("start") + F.col("lag"))
-    return means.join(F.broadcast(wanted), "t").drop("t")  # days of the record times lags at most
+    return means.join(wanted, "t").drop("t")
 
 
 def composite(windows: DataFrame, starts: DataFrame, by: tuple[str, ...] = ("variable", "region")) -> DataFrame:
@@ -54,16 +54,30 @@ def smoothed(composites: DataFrame, width: int, by: tuple[str, ...] = ("variable
     return composites.withColumn("mean_anomaly", F.avg("mean_anomaly").over(w)).withColumn("standard_error", F.avg("standard_error").over(w))
 
 
-def nearest(axis: list[tuple[int, float]], value: Column) -> Column:
-    """Index of the nearest coordinate of an axis, the first of equals. The axis, a dimension, is part of the plan."""
-    struct = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(i).alias("i")) for i, v in axis])
-    return F.array_min(F.transform(struct, lambda a: F.struct(F.abs(a["v"] - value).alias("d"), a["i"].alias("i"))))["i"]
+def _placed(targets: DataFrame, axis: DataFrame, value: str, index: str) -> DataFrame:
+    """``targets`` with the ``index`` of the nearest coordinate ``v`` of an axis (index, v), the lower of equals.
+
+    Each coordinate owns the stretch up to the middles between it and its neighbours. Stretches and targets meet in buckets
+    as wide as coordinates lie apart on average, so that a regular axis gives a stretch or two for each.
+    """
+    in_order = Window.orderBy("v")  # an axis, a row for each coordinate
+    ends = axis.withColumn("_low", (F.lag("v").over(in_order) + F.col("v")) / 2).withColumn("_high", (F.lead("v").over(in_order) + F.col("v")) / 2)
+    span = axis.agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n")).first()
+    if not span.n:
+        return targets.withColumn(index, F.lit(None).cast("int"))
+    width = (span.z - span.a) / max(1, span.n - 1) or 1.0
+    bucket = lambda x: F.greatest(F.lit(0), F.least(F.lit(span.n), F.floor((x - F.lit(span.a)) / F.lit(width)))).cast("int")
+    first = F.when(F.col("_low").isNull(), 0).otherwise(bucket(F.col("_low")))
+    last = F.when(F.col("_high").isNull(), F.lit(span.n).cast("int")).otherwise(bucket(F.col("_high")))
+    own = ends.select(F.col(index), "_low", "_high", F.explode(F.sequence(first, last)).alias("_bucket"))
+    inside = (F.col("_low").isNull() | (F.col(value) > F.col("_low"))) & (F.col("_high").isNull() | (F.col(value) <= F.col("_high")))
+    met = targets.withColumn("_bucket", bucket(F.col(value))).alias("x").join(own.alias("y"), (F.col("x._bucket") == F.col("y._bucket")) & inside, "left")
+    return met.select("x.*", f"y.{index}").drop("_bucket")
 
 
 def nearest_cells(targets: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """``targets`` with ``lat_idx`` and ``lon_idx`` of the nearest cell, each axis by itself; targets that share one stay."""
-    axes = {}
-    for c in ("lat", "lon"):
-        rows = cells.select(f"{c}_idx", c).distinct().collect()  # one row for each coordinate of an axis
-        axes[c] = sorted((r[0], r[1]) for r in rows)
-    return targets.withColumn("lat_idx", nearest(axes["lat"], F.col(lat))).withColumn("lon_idx", nearest(axes["lon"], F.col(lon)))
+    for value, axis in ((lat, "lat"), (lon, "lon")):
+        own = cells.select(f"{axis}_idx", F.col(axis).cast("double").alias("v")).distinct()
+        targets = _placed(targets, own, value, f"{axis}_idx")
+    return targets

@@ -7,8 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from panelweave.functions.special import gamma_cdf, gamma_ppf
+from panelweave.config import AIC_SWITCH_THRESHOLD
+from panelweave.functions.special import gamma_cdf, gamma_ppf, normal_cdf_array, normal_ppf_array
+from panelweave.operators.standardize import clipped_index
 
 #: Positive values and values that a record needs.
 MIN_POSITIVE, MIN_VALUES = 6, 10
@@ -127,7 +130,7 @@ def cdf(family: int, p: list[float], x: np.ndarray) -> np.ndarray:
     if family == 0:
         return gamma_cdf(p[0], x / p[1])
     if family == 1:
-        return np.array([0.5 * math.erfc(-(math.log(v) - p[0]) / (p[1] * math.sqrt(2))) for v in x])
+        return normal_cdf_array((np.log(x) - p[0]) / p[1])
     if family == 2:
         beta, alpha = 2 / (p[0] * p[2]), 4 / (p[0] * p[0])
         low = gamma_cdf(alpha, beta * (x - (p[1] - alpha / beta)))
@@ -138,12 +141,10 @@ def cdf(family: int, p: list[float], x: np.ndarray) -> np.ndarray:
 
 
 def ppf(family: int, p: list[float], q: np.ndarray) -> np.ndarray:
-    from statistics import NormalDist
-
     if family == 0:
         return p[1] * gamma_ppf(p[0], q)
     if family == 1:
-        return np.exp(p[0] + p[1] * np.array([NormalDist().inv_cdf(v) for v in q]))
+        return np.exp(p[0] + p[1] * normal_ppf_array(q))
     if family == 2:
         beta, alpha = 2 / (p[0] * p[2]), 4 / (p[0] * p[0])
         return p[1] - alpha / beta + gamma_ppf(alpha, q if p[0] > 0 else 1 - q) / beta
@@ -169,7 +170,7 @@ def _fit(family: int, x: np.ndarray) -> tuple[list[float], float]:
         return [], -math.inf
 
 
-def fit_cells(acc: DataFrame, switch: float = 2.0) -> DataFrame:
+def fit_cells(acc: DataFrame, switch: float = AIC_SWITCH_THRESHOLD) -> DataFrame:
     """(node_id, dist_id, params, zero_fraction, aics, ppcc, ks_d_upper, ad_a2) of each node's record (node_id, t, acc).
 
     Gamma stays unless another family's AIC is lower by more than ``switch``. Records with under 10 values or 6
@@ -201,20 +202,20 @@ def fit_cells(acc: DataFrame, switch: float = 2.0) -> DataFrame:
 
 
 def standardize(acc: DataFrame, fits: DataFrame) -> DataFrame:
-    """(node_id, t, spi): the normal quantile of the fitted mix of zeros and a positive family; fits are made once and joined."""
-    from statistics import NormalDist
-
-    def score(part: pd.DataFrame) -> pd.DataFrame:
-        family, q = int(part.dist_id.iloc[0]), part.zero_fraction.iloc[0]
-        out = np.full(len(part), np.nan)
-        x = part.acc.to_numpy(float)
-        if family >= 0:
-            mixed, known = np.full(len(x), float(q)), ~np.isnan(x)
-            up = known & (x > 0)
-            mixed[up] = q + (1 - q) * cdf(family, list(part.params.iloc[0]), x[up])
-            inverse = NormalDist().inv_cdf
-            out[known] = [inverse(v) for v in np.clip(mixed[known], 1e-8, 1 - 1e-8)]
-        return pd.DataFrame({"node_id": part.node_id, "t": part.t, "spi": [None if np.isnan(v) else v for v in out]})
+    """(node_id, t, spi): the normal quantile of the fitted mix of zeros and a positive family; fits are made once and joined.
+
+    The distribution functions of the families are worked out by arrays, a cell at a time; mix and quantile are columns.
+    """
+
+    def probability(part: pd.DataFrame) -> pd.DataFrame:
+        family, x = int(part.dist_id.iloc[0]), part.acc.to_numpy(float)
+        out, up = np.full(len(part), np.nan), x > 0
+        if family >= 0 and up.any():
+            with np.errstate(all="ignore"):
+                out[up] = cdf(family, list(part.params.iloc[0]), x[up])
+        return pd.DataFrame({"node_id": part.node_id, "t": part.t, "acc": part.acc, "q": part.zero_fraction, "p": out, "known": family >= 0})
 
     joined = acc.join(fits.select("node_id", "dist_id", "params", "zero_fraction"), "node_id")
-    return joined.groupBy("node_id").applyInPandas(score, "node_id long, t int, spi double")
+    found = joined.groupBy("node_id").applyInPandas(probability, "node_id long, t int, acc double, q double, p double, known boolean")
+    usable = F.col("known") & F.col("acc").isNotNull() & ~F.isnan("acc")
+    return found.select("node_id", "t", F.when(usable, clipped_index(F.col("p"), F.col("q"), F.col("acc"))).alias("spi"))

@@ -60,6 +60,31 @@ def weighted_divergence(edges: DataFrame, grid: DataFrame) -> DataFrame:
     return _on_grid(grid, found.withColumn("nd_w", F.col("in_strength") - F.col("out_strength")))
 
 
+def metrics(edges: DataFrame, cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All of the above for each cell and case, in one aggregation: ``cells`` has (by, node_id, lat, lon), every cell of every case."""
+    n = cells.select("node_id").distinct().count()
+    here = cells.select(*by, "node_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    there = cells.select(*by, F.col("node_id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    placed = mirrored(edges, by).join(here, [*by, "node_id"]).join(there, [*by, "other"])
+    far = placed.withColumn("d", haversine_asin(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")))
+    strong = lambda c: F.when(F.col("sig_strength"), c)
+    towards, away = F.col("sig_asym") & (F.col("q_asym") > 0), F.col("sig_asym") & (F.col("q_asym") < 0)
+    q, rest = F.col("q_strength"), F.lit(float(max(1, n - 1)))
+    found = far.groupBy(*by, "node_id").agg(
+        (F.count_if("sig_strength") / rest).alias("dc"),
+        (F.sum(strong(q)) / rest).alias("dc_w"),
+        F.avg(strong(F.col("d"))).alias("msd"),
+        F.try_divide(F.sum(strong(F.col("d") * q)), F.sum(strong(q))).alias("msd_w"),
+        F.count_if(towards).alias("in_degree"),
+        F.count_if(away).alias("out_degree"),
+        (F.count_if(towards) - F.count_if(away)).alias("nd"),
+        F.sum(F.when(towards, F.col("q_asym"))).alias("in_strength"),
+        F.sum(F.when(away, -F.col("q_asym"))).alias("out_strength"),
+    )
+    filled = cells.select(*by, "node_id").join(found, [*by, "node_id"], "left").na.fill(0)
+    return filled.withColumn("nd_w", F.col("in_strength") - F.col("out_strength"))
+
+
 def summary(edges: DataFrame, counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, valid_nodes, undirected_edges, directed_entries); a directed link is two entries."""
     totals = edges.groupBy(*by).agg(F.count_if("sig_strength").alias("undirected_edges"), (2 * F.count_if("sig_asym")).alias("directed_entries"))
@@ -78,41 +103,48 @@ def sampled_sources(grid: DataFrame, sample: int | None) -> DataFrame:
     return ids.where((F.col("node_id") % step == 0) & (F.col("node_id") < step * sample))
 
 
-def betweenness(edges: DataFrame, grid: DataFrame, sample: int | None = None) -> DataFrame:
-    """(node_id, bc): betweenness over unweighted shortest paths, from all or sampled sources, normalised.
-
-    All sources advance together: a round extends the frontier of each by one link and keeps what was not seen,
-    summing path counts. Dependencies then flow back a level at a time. Each level is a table in the shared folder, and
-    the rounds are as many as the longest shortest path.
-    """
-    n = grid.count()
-    links = materialize(mirrored(edges).where("sig_strength").select("node_id", "other"), "links")
-    sources = sampled_sources(grid, sample)
-    k = sources.count()
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """(source, node_id, delta) from a batch of sources, or None without links: levels ahead, then dependencies back."""
     levels = [materialize(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(1.0).alias("paths")), "level")]
-    seen = levels[0].select("source", "node_id")
     while True:
         ahead = levels[-1].join(links, "node_id").groupBy("source", F.col("other").alias("node_id")).agg(F.sum("paths").alias("paths"))
-        new = materialize(ahead.join(seen, ["source", "node_id"], "left_anti"), "level")
+        for seen in levels[-2:]:  # links go both ways, so a neighbour is one level back, here, or new
+            ahead = ahead.join(seen, ["source", "node_id"], "left_anti")
+        new = materialize(ahead, "level")
         if new.isEmpty():
             break
         levels.append(new)
-        seen = materialize(seen.unionByName(new.select("source", "node_id")), "seen")
-    owed = levels[-1].select("source", "node_id", F.lit(0.0).alias("delta")) if len(levels) > 1 else None
-    parts = []
+    parts = None
+    owed = levels[-1].select("source", "node_id", F.lit(0.0).alias("delta"))
     for level in range(len(levels) - 1, 0, -1):
         deltas = materialize(owed, "delta")
-        parts.append(deltas)
-        if level == 1:
-            break
+        parts = deltas if parts is None else parts.unionByName(deltas)
         down = levels[level].join(deltas, ["source", "node_id"]).select("source", F.col("node_id").alias("other"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
         up = down.join(links, "other").join(levels[level - 1], ["source", "node_id"])
         gained = up.groupBy("source", "node_id").agg((F.max("paths") * F.sum("share")).alias("delta"))
         owed = levels[level - 1].select("source", "node_id").join(gained, ["source", "node_id"], "left").select("source", "node_id", F.coalesce("delta", F.lit(0.0)).alias("delta"))
-    if not parts:
+    return parts
+
+
+def betweenness(edges: DataFrame, grid: DataFrame, sample: int | None = None, batch: int = 1000) -> DataFrame:
+    """(node_id, bc): betweenness over unweighted shortest paths, from all or sampled sources, normalised.
+
+    Up to about ``batch`` sources advance together: a round extends the frontier of each by one link and keeps what was not
+    seen, summing path counts. Dependencies then flow back a level at a time. Each level is a table in the shared
+    folder, and the rounds are as many as the longest shortest path; a batch's tables hold batch x nodes rows at most.
+    """
+    n = grid.count()
+    links = materialize(mirrored(edges).where("sig_strength").select("node_id", "other"), "links")
+    sources = sampled_sources(grid, sample)
+    k = sources.count()
+    every = None
+    batches = max(1, -(-k // batch))
+    for number in range(batches):
+        found = _dependencies(links, sources.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == number))
+        if found is not None:
+            sums = materialize(found.groupBy("node_id").agg(F.sum("delta").alias("delta")), "dependencies")
+            every = sums if every is None else every.unionByName(sums)
+    if every is None:
         return grid.select("node_id", F.lit(0.0).alias("bc"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
     scale = (n / k if k < n else 1.0) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return _on_grid(grid, every.groupBy("node_id").agg((F.sum("delta") * F.lit(float(scale))).alias("bc")))

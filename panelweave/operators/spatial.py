@@ -107,13 +107,34 @@ def region_labels(pathway: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(src.unionByName(snk), ["kind", "cluster_id"]).select("node_id", F.col("label").cast("long").alias("label"))
 
 
-def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point lies in a closed ring of vertices, by the parity of the sides it sees to its right."""
-    crossings = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-        if y1 == y2:
-            continue
-        spans = (F.lit(y1) > y) != (F.lit(y2) > y)
-        at = (y - y1) * ((x2 - x1) / (y2 - y1)) + x1
-        crossings = crossings + F.when(spans & (x < at), 1).otherwise(0)
-    return crossings % 2 == 1
+def polygon_edges(rings: DataFrame) -> DataFrame:
+    """(x1, y1, x2, y2): the sides of closed rings of vertices (ring, place, x, y); rings of holes and of other parts alike."""
+    by_ring = Window.partitionBy("ring").orderBy("place")
+    first = Window.partitionBy("ring")
+    ends = rings.withColumn("x2", F.lead("x").over(by_ring)).withColumn("y2", F.lead("y").over(by_ring))
+    ends = ends.withColumn("_x", F.min_by("x", "place").over(first)).withColumn("_y", F.min_by("y", "place").over(first))
+    return ends.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce("x2", "_x").alias("x2"), F.coalesce("y2", "_y").alias("y2"))
+
+
+def inside_polygon(points: DataFrame, edges: DataFrame, key: str, x: str = "lon", y: str = "lat", bands: int = 256) -> DataFrame:
+    """(key, inside) for each row of ``points``: the parity of the sides that it sees to its right, so holes are outside.
+
+    Sides and points meet in bands of y, of which a side is in those that it spans; a boundary of many vertices is a
+    table, not part of the plan.
+    """
+    span = edges.agg(F.min(F.least("y1", "y2")).alias("a"), F.max(F.greatest("y1", "y2")).alias("z")).first()
+    if span.a is None:
+        return points.select(key, F.lit(False).alias("inside"))
+    height = (span.z - span.a) / bands or 1.0
+    band = lambda c: F.greatest(F.lit(-1), F.least(F.lit(bands + 1), F.floor((c - F.lit(span.a)) / F.lit(height)))).cast("int")
+    sides = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    at = (F.col("_py") - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))) + F.col("x1")
+    crossed = ((F.col("y1") > F.col("_py")) != (F.col("y2") > F.col("_py"))) & (F.col("_px") < at)
+    placed = points.select(F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(y).alias("_py")).withColumn("_band", band(F.col("_py")))
+    hits = placed.join(sides, "_band").where(crossed).groupBy("_key").agg(F.count("*").alias("_n"))
+    return points.join(hits, F.col(key) == F.col("_key"), "left").select(key, (F.coalesce("_n", F.lit(0)) % 2 == 1).alias("inside"))
+
+
+def cells_inside(grid: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id) of the cells whose centre lies inside."""
+    return inside_polygon(grid, edges, "node_id").where("inside").select("node_id")

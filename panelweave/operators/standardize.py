@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.config import AIC_SWITCH_THRESHOLD
 from panelweave.functions.special import log_gamma, normal_cdf, normal_ppf
 
-FAMILIES = {0: "gamma", 1: "lognormal", 2: "pearson3", 3: "weibull", 4: "gengamma"}
-
 
 def rolling_accumulation(panel: DataFrame, scale: int) -> DataFrame:
     """(node_id, t, acc): trailing sum over ``scale`` days, missing days as zero.
@@ -50,7 +49,7 @@ def lognormal_fit(moments: DataFrame) -> DataFrame:
     return moments.withColumn("loglik", loglik).select("node_id", m.alias("mu"), s.alias("sigma"), "loglik", (4 - 2 * F.col("loglik")).alias("aic"))
 
 
-def conservative_best(aics: DataFrame, switch: float = 2.0) -> DataFrame:
+def conservative_best(aics: DataFrame, switch: float = AIC_SWITCH_THRESHOLD) -> DataFrame:
     """(node_id, dist_id, best_aic) of rows (node_id, dist_id, aic): the least AIC, ties to the first family.
 
     Gamma, family 0, stays unless another is better by more than ``switch``. A null AIC is infinite, and -1 stands for

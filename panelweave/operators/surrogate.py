@@ -13,10 +13,16 @@ MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2**31
 SEED_A, SEED_B = 2654435769, 2246822519
 
 
-def combinations(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, ni, nj, c): distinct event numbers ni <= nj of pairs, numbered from 1 in order within ``by``."""
-    distinct = pairs.select(*by, F.least("ni", "nj").alias("ni"), F.greatest("ni", "nj").alias("nj")).distinct()
-    return distinct.withColumn("c", F.row_number().over(Window.partitionBy(*by).orderBy("ni", "nj")).cast("long"))
+def combinations(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ni, nj, c): event numbers ni <= nj that pairs of nodes can have, numbered from 1 in order within ``by``.
+
+    From how many nodes have each number of events, (by, node_id, n), not from the pairs: a number goes with itself if two
+    nodes have it. There are as many rows as pairs of distinct numbers.
+    """
+    held = counts.groupBy(*by, "n").agg(F.count("*").alias("nodes")).withColumn("_one", F.lit(1))
+    low, high = held.select(*by, "_one", F.col("n").alias("ni"), "nodes"), held.select(*by, "_one", F.col("n").alias("nj"))
+    met = low.join(high, [*by, "_one"]).where("ni < nj OR (ni = nj AND nodes >= 2)").select(*by, "ni", "nj")
+    return met.withColumn("c", F.row_number().over(Window.partitionBy(*by).orderBy("ni", "nj")).cast("long"))
 
 
 def _jumps(spark: SparkSession, most: int) -> DataFrame:
@@ -53,14 +59,15 @@ def draws(combos: DataFrame, lengths: DataFrame | int, surrogates: int, by: tupl
 
 
 def critical_values(
-    pairs: DataFrame, lengths: DataFrame | int, tau: int | str, surrogates: int, by: tuple[str, ...] = (), quantile: float = SURROGATE_QUANTILE
+    counts: DataFrame, lengths: DataFrame | int, tau: int | str, surrogates: int, by: tuple[str, ...] = (), quantile: float = SURROGATE_QUANTILE
 ) -> DataFrame:
     """(by, ni, nj, c, crit_sum, crit_diff): quantiles over surrogates of the sum and the absolute difference of the counts.
 
+    ``counts`` has the event numbers of the valid nodes, (by, node_id, n).
     As sum and difference are compared for equal event numbers, the common root is left out. The least day of either
     side is skipped, as the first event of a node is.
     """
-    combos = combinations(pairs, by)
+    combos = combinations(counts, by)
     days = draws(combos, lengths, surrogates, by)
     rank = F.row_number().over(Window.partitionBy(*by, "c", "s", "side").orderBy("day", "k"))
     later = days.withColumn("_r", rank).where("_r >= 2")
@@ -76,10 +83,10 @@ def critical_values(
 
 
 def significant_edges(pairs: DataFrame, critical: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, i, j, q_strength, q_asym, sig_strength, sig_asym): sum and difference strictly above their critical values."""
+    """(by, i, j, q_strength, q_asym, sig_strength, sig_asym) of significant pairs: sum or difference strictly above its critical value."""
     ranged = critical.select(*by, F.col("ni").alias("_lo"), F.col("nj").alias("_hi"), "crit_sum", "crit_diff")
     same = [F.least("ni", "nj") == F.col("_lo"), F.greatest("ni", "nj") == F.col("_hi")]
     left, right = pairs.alias("l"), ranged.alias("r")
     joined = left.join(right, [*[F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], *same])
     total, diff = F.col("j_j2i") + F.col("j_i2j"), F.abs(F.col("j_j2i") - F.col("j_i2j"))
-    return joined.select(*[F.col(f"l.{c}") for c in by], "i", "j", "q_strength", "q_asym", (total > F.col("crit_sum")).alias("sig_strength"), (diff > F.col("crit_diff")).alias("sig_asym"))
+    return joined.select(*[F.col(f"l.{c}") for c in by], "i", "j", "q_strength", "q_asym", (total > F.col("crit_sum")).alias("sig_strength"), (diff > F.col("crit_diff")).alias("sig_asym")).where("sig_strength OR sig_asym")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from panelweave.config import MIN_EVENTS
 
-#: Pieces into which the nodes of one time bucket are dealt, so that a bucket with many events is many tasks.
-BLOCKS = 4
+#: Events of one time bucket that a block of nodes holds, about, and nodes of a block of the list of all pairs.
+BLOCK_EVENTS, BLOCK_NODES = 2000, 2000
 
 
 def valid_counts(onsets: DataFrame, by: tuple[str, ...] = (), least: int = MIN_EVENTS) -> DataFrame:
@@ -16,12 +16,23 @@ def valid_counts(onsets: DataFrame, by: tuple[str, ...] = (), least: int = MIN_E
     return onsets.groupBy(*by, "node_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def _block(node: str, blocks: int, most: int) -> Column:
+    """Number of the block of a node: ranges of node numbers, so that i < j never lies in a later block than j."""
+    return F.least(F.lit(blocks - 1), F.floor(F.col(node) * F.lit(blocks) / F.lit(most + 1))).cast("int")
+
+
+def _dealt(left: DataFrame, right: DataFrame, blocks: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers (_p, _q) of the pairs of blocks p <= q that they take part in: ``left`` as i, ``right`` as j."""
+    a, b = left.withColumn("_p", _block("i", blocks, most)), right.withColumn("_q", _block("j", blocks, most))
+    return a.withColumn("_q", F.explode(F.sequence(F.col("_p"), F.lit(blocks - 1)))), b.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_q"))))
+
+
 def node_pairs(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, i, j, ni, nj) for i < j: the table of results itself is this large."""
-    a = counts.select(*by, F.col("node_id").alias("i"), F.col("n").alias("ni"), F.pmod(F.xxhash64("node_id"), F.lit(BLOCKS)).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b"))
-    b = counts.select(*by, F.col("node_id").alias("j"), F.col("n").alias("nj"), F.pmod(F.xxhash64("node_id"), F.lit(BLOCKS)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_a"))
-    a, b = (x.withColumn("_a", F.col("_a").cast("int")).withColumn("_b", F.col("_b").cast("int")) for x in (a, b))
-    return a.join(b, [*by, "_a", "_b"]).where("i < j").select(*by, "i", "j", "ni", "nj")
+    size = counts.groupBy(*by).agg(F.count("*").alias("n"), F.max("node_id").alias("top")).agg(F.max("n").alias("n"), F.max("top").alias("top")).first()
+    a, b = counts.select(*by, F.col("node_id").alias("i"), F.col("n").alias("ni")), counts.select(*by, F.col("node_id").alias("j"), F.col("n").alias("nj"))
+    a, b = _dealt(a, b, max(1, -(-(size.n or 0) // BLOCK_NODES)), size.top or 0)
+    return a.join(b, [*by, "_p", "_q"]).where("i < j").select(*by, "i", "j", "ni", "nj")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], width: Column) -> DataFrame:
@@ -44,9 +55,11 @@ def doubled_counts(onsets: DataFrame, tau: int | str, by: tuple[str, ...] = ())
     width = F.lit(tau) if isinstance(tau, int) else F.col(tau)
     valid = valid_counts(onsets, by).select(*by, "node_id")
     later = onsets.where("seq >= 2").join(valid, [*by, "node_id"], "left_semi")
-    block, every = F.pmod(F.xxhash64("node_id"), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    a = later.select(*by, F.col("node_id").alias("i"), F.col("start_t").alias("ta"), block.alias("_p"), every.alias("_q"))
-    b = later.select(*by, F.col("node_id").alias("j"), F.col("start_t").alias("tb"), every.alias("_p"), block.alias("_q"))
+    later = later.select(*by, "node_id", "start_t")
+    held = later.groupBy(*by, F.floor(F.col("start_t") / width).alias("_b")).agg(F.count("*").alias("n"), F.max("node_id").alias("top"))
+    size = held.agg(F.max("n").alias("n"), F.max("top").alias("top")).first()  # of the fullest time bucket
+    a, b = later.withColumnsRenamed({"node_id": "i", "start_t": "ta"}), later.withColumnsRenamed({"node_id": "j", "start_t": "tb"})
+    a, b = _dealt(a, b, max(1, -(-(size.n or 0) // BLOCK_EVENTS)), size.top or 0)
     near = near_pairs(a, b, (*by, "_p", "_q"), width).where("i < j")
     d = F.col("ta") - F.col("tb")
     return near.groupBy(*by, "i", "j").agg(
@@ -54,12 +67,23 @@ def doubled_counts(onsets: DataFrame, tau: int | str, by: tuple[str, ...] = ())
     )
 
 
+def _halved(c: str) -> Column:
+    return (F.coalesce(F.col(c), F.lit(0)) / 2).alias(c[1:])
+
+
+def met_pairs(onsets: DataFrame, tau: int | str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, i, j, ni, nj, j_j2i, j_i2j) of the pairs of valid nodes with any synchronization: all that can be significant."""
+    counts = valid_counts(onsets, by)
+    found = doubled_counts(onsets, tau, by)
+    found = found.join(counts.withColumnsRenamed({"node_id": "i", "n": "ni"}), [*by, "i"]).join(counts.withColumnsRenamed({"node_id": "j", "n": "nj"}), [*by, "j"])
+    return found.select(*by, "i", "j", "ni", "nj", _halved("jj_j2i"), _halved("jj_i2j"))
+
+
 def sync_pairs(onsets: DataFrame, tau: int | str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, i, j, ni, nj, j_j2i, j_i2j) for every pair of valid nodes, zeros included."""
     found = doubled_counts(onsets, tau, by)
-    half = lambda c: (F.coalesce(F.col(c), F.lit(0)) / 2).alias(c[1:])
     pairs = node_pairs(valid_counts(onsets, by), by)
-    return pairs.join(found, [*by, "i", "j"], "left").select(*by, "i", "j", "ni", "nj", half("jj_j2i"), half("jj_i2j"))
+    return pairs.join(found, [*by, "i", "j"], "left").select(*by, "i", "j", "ni", "nj", _halved("jj_j2i"), _halved("jj_i2j"))
 
 
 def strength(pairs: DataFrame) -> DataFrame:

@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_case(df: DataFrame, root: str, **case: object) -> str:
-    """One case of a stage as compressed Parquet; its parameters become partition folders, so readers prune by them."""
-    for key, value in case.items():
-        df = df.withColumn(key, F.lit(value))
-    df.write.mode("append").option("compression", "zstd").partitionBy(*case).parquet(root)
-    return root
+def case_path(root: str, **case: object) -> str:
+    return "/".join([root, *(f"{key}={value}" for key, value in case.items())])
+
+
+def write_case(df: DataFrame, root: str, *within: str, **case: object) -> str:
+    """One case of a stage as compressed Parquet; its parameters become folders, so readers prune by them.
+
+    A case that was there is replaced, also by an empty one. Columns ``within`` become folders inside the case's.
+    """
+    path = case_path(root, **case)
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    (writer.partitionBy(*within) if within else writer).parquet(path)
+    return path
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` came to its end."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+    except AnalysisException:
+        return False
+    return True
+
+
+def has_case(spark: SparkSession, root: str, **case: object) -> bool:
+    """Whether a stage has rows of a case; a folder that is missing or was not finished has none."""
+    try:
+        return not read_stage(spark, root, **case).isEmpty()
+    except AnalysisException:
+        return False
 
 
 def read_stage(spark: SparkSession, root: str, **case: object) -> DataFrame:

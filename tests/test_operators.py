@@ -4,9 +4,11 @@ import math
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelweave.functions import special
 from panelweave.operators import composite, derive, events, network, spatial, standardize, surrogate, sync
 
 
@@ -96,9 +98,9 @@ def test_bucketed_pairs_equal_the_plain_count(spark, tau):
 
 
 def test_draws_equal_the_generator_step_by_step(spark):
-    pairs = spark.createDataFrame([(1, 2, 3, 7), (1, 3, 7, 3), (2, 3, 4, 4)], "i long, j long, ni long, nj long")
-    combos = surrogate.combinations(pairs)
-    assert sorted((r.ni, r.nj, r.c) for r in combos.collect()) == [(3, 7, 1), (4, 4, 2)]
+    counts = spark.createDataFrame([(1, 3), (2, 4), (3, 4)], "node_id long, n long")
+    combos = surrogate.combinations(counts)
+    assert sorted((r.ni, r.nj, r.c) for r in combos.collect()) == [(3, 4, 1), (4, 4, 2)]
     got = {}
     for r in surrogate.draws(combos, 1000, 3).orderBy("k").collect():
         got.setdefault((r.c, r.s, r.side), []).append(r.day)
@@ -214,10 +216,16 @@ def test_smoothing_is_shorter_at_the_ends(spark):
     assert [r.mean_anomaly for r in composite.smoothed(frame, 3).orderBy("lag").collect()] == [1.5, 2.0, 2.5]
 
 
-def test_nearest_takes_the_first_of_equals(spark):
-    axis = [(0, 20.0), (1, 20.5), (2, 21.0)]
-    got = spark.createDataFrame([(20.25,), (20.3,), (99.0,)], "v double").select(composite.nearest(axis, F.col("v")).alias("i")).collect()
-    assert [r.i for r in got] == [0, 1, 2]
+@pytest.mark.parametrize("lats", [[20.0, 20.5, 21.0], [0.0, 0.1, 5.0, 5.5, 60.0], [7.0], [89.75 - 0.25 * k for k in range(700)]])
+def test_nearest_takes_the_first_of_equals(spark, lats):
+    lats = sorted(lats)
+    cells = spark.createDataFrame([(k, 0, v, 100.0) for k, v in enumerate(lats)], "lat_idx int, lon_idx int, lat double, lon double")
+    rng = random.Random(1)
+    values = [rng.uniform(-5, 70) for _ in range(60)] + [20.25, 20.3, 99.0, -1e6, 1e6, *lats[:5], (lats[0] + lats[-1]) / 2]
+    got = composite.nearest_cells(spark.createDataFrame([(k, v, 3.0) for k, v in enumerate(values)], "k int, lat double, lon double"), cells).collect()
+    assert len(got) == len(values)
+    for r in got:
+        assert r.lat_idx == min(range(len(lats)), key=lambda i: (abs(lats[i] - r.lat), i)) and r.lon_idx == 0
 
 
 def test_distances_agree_and_derived_values(spark):
@@ -228,7 +236,55 @@ def test_distances_agree_and_derived_values(spark):
     assert one.select(derive.haversine_asin(F.lit(0.0), F.lit(0.0), F.lit(180.0), F.lit(0.0)).alias("d")).first().d == pytest.approx(math.pi * 6371)
 
 
-def test_polygon_parity(spark):
-    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
-    points = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.9, 3.0), (5.0, 1.0), (2.0, 0.5)], "x double, y double")
-    assert [r.m for r in points.select(spatial.inside_polygon(F.col("x"), F.col("y"), ring).alias("m")).collect()] == [True, False, True, False, True]
+def test_polygon_parity_with_holes_and_parts(spark):
+    rings = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)], [(0.5, 0.2), (1.5, 0.2), (1.5, 0.6), (0.5, 0.6)], [(8.0, 8.0), (9.0, 8.0), (9.0, 9.0), (8.0, 9.0)]]
+    sides = spatial.polygon_edges(spark.createDataFrame([(k, n, *v) for k, ring in enumerate(rings) for n, v in enumerate(ring)], "ring int, place int, x double, y double"))
+    assert sides.count() == 13
+
+    def plain(x, y):
+        inside = False
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+                if (y1 > y) != (y2 > y) and x < (y - y1) * ((x2 - x1) / (y2 - y1)) + x1:
+                    inside = not inside
+        return inside
+
+    rng = random.Random(2)
+    places = [(1.0, 1.0), (2.0, 2.0), (3.9, 3.0), (5.0, 1.0), (2.0, 0.5), (1.0, 0.4), (8.5, 8.5), (1e12, -1e12), (1.0, 1e12)] + [(rng.uniform(-1, 10), rng.uniform(-1, 10)) for _ in range(200)]
+    points = spark.createDataFrame([(k, *v) for k, v in enumerate(places)], "k int, x double, y double")
+    for bands in (1, 7, 256):
+        got = {r.k: r.inside for r in spatial.inside_polygon(points, sides, "k", "x", "y", bands).collect()}
+        assert got == {k: plain(*v) for k, v in enumerate(places)}
+    assert [got[k] for k in range(7)] == [True, False, True, False, True, False, True]
+    assert not spatial.inside_polygon(points, sides.limit(0), "k", "x", "y").where("inside").count()
+
+
+def test_metrics_at_once_equal_those_by_themselves(spark):
+    rng, cells = random.Random(5), grid(spark, 14, 4)
+    rows = [(i, j, rng.random(), rng.uniform(-1, 1), rng.random() < 0.6, rng.random() < 0.6) for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.5]
+    links = spark.createDataFrame(rows, "i long, j long, q_strength double, q_asym double, sig_strength boolean, sig_asym boolean")
+    alone = network.degree(links, cells).join(network.weighted_degree(links, cells), "node_id").join(network.mean_distance(links, cells), "node_id")
+    alone = alone.join(network.divergence(links, cells), "node_id").join(network.weighted_divergence(links, cells), "node_id")
+    together = network.metrics(links, cells)
+    want = {r.node_id: r.asDict() for r in alone.collect()}
+    assert {r.node_id: r.asDict() for r in together.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_blocks_of_nodes_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(6)
+    days = {n: sorted(rng.sample(range(60), rng.randint(3, 9))) for n in range(25)}
+    frame = onsets(spark, days)
+    whole = sorted(map(tuple, sync.sync_pairs(frame, 9).collect()))
+    met = sorted(map(tuple, sync.met_pairs(frame, 9).collect()))
+    assert met == [r for r in whole if r[4] or r[5]]
+    monkeypatch.setattr(sync, "BLOCK_EVENTS", 4)
+    monkeypatch.setattr(sync, "BLOCK_NODES", 4)
+    assert sorted(map(tuple, sync.sync_pairs(frame, 9).collect())) == whole
+
+
+def test_the_normal_distribution_over_arrays(spark):
+    z = np.linspace(-9, 9, 401)
+    rows = spark.createDataFrame([(float(v),) for v in z], "z double").select("z", special.normal_cdf(F.col("z")).alias("c")).orderBy("z").collect()
+    assert np.allclose(special.normal_cdf_array(z), [r.c for r in rows], rtol=1e-12, atol=0)
+    p = np.linspace(1e-8, 1 - 1e-8, 400)
+    assert np.allclose(special.normal_cdf_array(special.normal_ppf_array(p)), p, rtol=1e-7)
