@@ -87,4 +87,5 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_poisson_mixing": mixing.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }

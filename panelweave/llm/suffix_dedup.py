@@ -510,3 +510,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     out = plain.repartition(parts, "id", "sub").join(spans, ["id", "sub"], "left").select("id", "text", "spans").mapInArrow(run, schema)
     return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept")
+
+
+#: The same by every string of ``LENGTH`` bytes, without sampling or sorting of suffixes.
+ORACLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT r, p, array_slice(b, p, p + {LENGTH - 1}) AS s FROM (SELECT r, b, unnest(range(1, n - {LENGTH - 2})) AS p FROM d)),
+later AS MATERIALIZED (SELECT r, p FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY r, p) > 1),
+breaks AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + {LENGTH}, true)::INT AS new FROM later),
+numbered AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM breaks),
+spans AS MATERIALIZED (SELECT r, min(p) AS begin, max(p) + {LENGTH} AS stop FROM numbered GROUP BY r, k),
+pieces AS (SELECT r, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY begin), 1) AS x, begin - 1 AS y FROM spans
+    UNION ALL SELECT d.r, coalesce(max(stop), 1), any_value(n) FROM d LEFT JOIN spans ON d.r = spans.r GROUP BY d.r),
+kept AS (SELECT r, sha256(unhex(string_agg(hex(array_slice(b, x, y)), '' ORDER BY x))) AS kept_sha256 FROM pieces JOIN d USING (r) WHERE x <= y GROUP BY r),
+removed AS (SELECT r, sum(stop - begin) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN removed USING (r)"""
