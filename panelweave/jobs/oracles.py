@@ -111,6 +111,13 @@ CTES["edges"] = "SELECT i, j, q_strength, q_asym, j_j2i + j_i2j > crit_sum AS si
 CTES["mirror"] = "SELECT i AS node_id, j AS other, q_asym, q_strength, sig_strength, sig_asym FROM edges UNION ALL SELECT j, i, -q_asym, q_strength, sig_strength, sig_asym FROM edges"
 _CELLS = "(SELECT count(*) FROM grid)"
 CTES["degrees"] = f"SELECT g.node_id, count(other) / ({_CELLS} - 1)::DOUBLE AS dc FROM grid g LEFT JOIN (SELECT * FROM mirror WHERE sig_strength) b ON g.node_id = b.node_id GROUP BY g.node_id"
+CTES["reached"] = f"""SELECT s, v, min(d) AS d FROM (WITH RECURSIVE walks(s, v, d) AS (SELECT node_id, node_id, 0 FROM grid UNION
+  SELECT s, m.other, d + 1 FROM walks w JOIN mirror m ON m.node_id = w.v AND m.sig_strength WHERE d + 1 < {_CELLS}) SELECT * FROM walks) GROUP BY s, v"""
+CTES["shortest"] = """SELECT s, v, d, sum(n) AS n FROM (WITH RECURSIVE ways(s, v, d, n) AS (SELECT node_id, node_id, 0, 1::DOUBLE FROM grid UNION ALL
+  SELECT w.s, m.other, w.d + 1, sum(w.n) FROM ways w JOIN mirror m ON m.node_id = w.v AND m.sig_strength JOIN reached r ON r.s = w.s AND r.v = m.other AND r.d = w.d + 1 GROUP BY ALL) SELECT * FROM ways) GROUP BY s, v, d"""
+CTES["between"] = f"""SELECT g.node_id, coalesce(x, 0) / (({_CELLS} - 1) * ({_CELLS} - 2)) AS bc FROM grid g LEFT JOIN (
+  SELECT a.v AS node_id, sum(a.n * b.n / whole.n) AS x FROM shortest a JOIN shortest b ON b.s = a.v JOIN shortest whole ON whole.s = a.s AND whole.v = b.v AND whole.d = a.d + b.d
+  WHERE a.d > 0 AND b.d > 0 GROUP BY a.v) USING (node_id)"""
 CTES["cells"] = "SELECT *, 20 + 0.25 * lat_idx AS lat, 100 + 0.25 * lon_idx AS lon FROM (SELECT DISTINCT l_partkey % 400 AS node_id, (l_partkey % 400 // 20)::INT AS lat_idx, (l_partkey % 400 % 20)::INT AS lon_idx FROM lineitem)"
 CTES["x"] = "SELECT l_partkey % 400 AS node_id, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS x FROM lineitem GROUP BY 1"
 CTES["near"] = "SELECT a.node_id AS i, b.node_id AS j FROM cells a JOIN cells b ON abs(a.lat_idx - b.lat_idx) <= 1 AND abs(a.lon_idx - b.lon_idx) <= 1 AND a.node_id <> b.node_id"
@@ -237,6 +244,7 @@ ORACLES = {
     "net_divergence": _with("SELECT node_id, coalesce(a, 0) AS in_degree, coalesce(z, 0) AS out_degree, coalesce(a - z, 0) AS nd FROM grid LEFT JOIN (SELECT node_id, count(*) FILTER (q_asym > 0) AS a, count(*) FILTER (q_asym < 0) AS z FROM mirror WHERE sig_asym GROUP BY 1) USING (node_id)"),
     "net_divergence_weighted": _with("SELECT node_id, coalesce(a, 0) AS in_strength, coalesce(z, 0) AS out_strength, coalesce(a - z, 0) AS nd_w FROM grid LEFT JOIN (SELECT node_id, sum(greatest(q_asym, 0)) AS a, sum(greatest(-q_asym, 0)) AS z FROM mirror WHERE sig_asym GROUP BY 1) USING (node_id)"),
     "network_summary": _with("SELECT (SELECT count(*) FROM valid) AS valid_nodes, count(*) FILTER (sig_strength) AS undirected_edges, 2 * count(*) FILTER (sig_asym) AS directed_entries FROM edges"),
+    "betweenness": _with("SELECT node_id, bc FROM between"),
     "lat_profile": _with("SELECT lat_idx, lat, avg(dc) AS mean_dc FROM degrees JOIN grid USING (node_id) GROUP BY 1, 2"),
     "lon_profile": _with("SELECT lon_idx, lon, avg(dc) AS mean_dc FROM degrees JOIN grid USING (node_id) GROUP BY 1, 2"),
     "queen_weights": _with("SELECT i, j, weight FROM queen"),

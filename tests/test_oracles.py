@@ -4,7 +4,7 @@ from oracle import compare, connect
 from panelweave.jobs.catalog import QUERIES
 from panelweave.jobs.oracles import ORACLES
 
-NO_SQL = {"distribution_fits", "spi", "gof_summary", "betweenness"}
+NO_SQL = {"distribution_fits", "spi", "gof_summary"}
 
 
 @pytest.fixture(scope="module")
