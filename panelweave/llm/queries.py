@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.functions.lineage import materialize
-from panelweave.llm import bpe, exact_dedup, langid, line_dedup, mixing, ordinal, outliers, simhash, suffix_dedup, url_filter
+from panelweave.functions.lineage import materialize, shared_dir
+from panelweave.llm import alignment, bpe, exact_dedup, langid, line_dedup, mixing, ordinal, outliers, simhash, suffix_dedup, url_filter, vector_codes, warc
 from panelweave.sources.tables import table
 
 
@@ -70,6 +72,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers over all documents; groups as digests."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    return alignment.align(table(spark, sf_dir, "documents"), a, b, groups_as=digest).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, and what the archives say when they are read back."""
+    path = f"{shared_dir(spark)}/panelweave/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    records = warc.read_archives(spark, path, payloads=False)
+    page, target = warc.row_id(F.col("record_id")).alias("page_id"), warc.row_id(F.col("refers_to")).alias("refers_to")
+    return records.select(page, "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), target)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all whole and finite vectors, by codebooks that all of them formed."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mcd_outliers": op1_mcd_outliers,
     "op2_language_mixture": op2_language_mixture,
@@ -81,6 +104,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_warc_zstd": op12_warc_zstd,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
@@ -88,4 +114,6 @@ ORACLES = {
     "op5_poisson_mixing": mixing.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op12_warc_zstd": warc.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }

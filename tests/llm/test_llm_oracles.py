@@ -16,4 +16,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 11)) and all(q.__doc__ for q in QUERIES.values())
+    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 14)) and all(q.__doc__ for q in QUERIES.values())
