@@ -53,7 +53,7 @@ def _head(fields: list[tuple[str, str]], first: bytes) -> bytes:
 
 def _uri(url: str | None) -> str:
     """The url with everything but visible ASCII percent-encoded, so that no header can be broken; ``about:blank`` for null."""
-    return re.sub(rb"[^!-~]", lambda m: b"%%%02X" % m[0], (url or "about:blank").encode()).decode()
+    return re.sub(rb"[^!-~]", lambda m: b"%%%02X" % ord(m[0]), (url or "about:blank").encode()).decode()
 
 
 def build_record(row: int | None, url: str | None, payload: bytes, size: int, sha1: str, refers_to: int | None, date: str) -> bytes:
