@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.config import BURN_IN_DAYS, FIXTURE, N_SURROGATES, SEASONS
+from panelweave.config import BURN_IN_DAYS, FIXTURE, N_SURROGATES, SEASONS, TAU_SENSITIVITY, THRESHOLD_SENSITIVITY
 from panelweave.functions.lineage import materialize
 from panelweave.jobs import stages
 from panelweave.operators import composite, derive, events, fitting, network, spatial, standardize, surrogate, sync
@@ -21,7 +21,9 @@ RINGS = [
 ]
 #: Source and sink regions of the composites, as folds of the node number.
 SOURCE_FOLD, SINK_FOLD, FOLDS = 0, 1, 3
-SWEEP_THRESHOLDS, SWEEP_TAUS, SWEEP_SURROGATES = (-0.5, -1.0, -1.5), (10, 15, 30), N_SURROGATES
+#: Scales of the sweep with their kind of events and their thresholds, which for rapid onsets are changes; tolerances are the fixed ones of each scale.
+SWEEP = {5: ("rapid", (-1.0, -1.5, -2.0)), 30: ("regular", THRESHOLD_SENSITIVITY[30]), 90: ("regular", THRESHOLD_SENSITIVITY[90])}
+SWEEP_SURROGATES, SWEEP_NODES = N_SURROGATES, 10
 
 
 def _acc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,24 +337,43 @@ def haversine(spark, sf_dir):
     return both.select("c_custkey", derive.haversine_atan(*args).alias("km_atan"), derive.haversine_asin(*args).alias("km_asin"))
 
 
+def _sweep_events(spark, sf_dir, scale: int) -> DataFrame:
+    """(scale, threshold, season, node_id, seq, start_t, end_t) of one scale; a threshold's events are extracted once."""
+    kind, thresholds = SWEEP[scale]
+    scores = standardize.log_scores(standardize.rolling_accumulation(src.panel(spark, sf_dir), scale))
+    late, every = materialize(events.after_burn_in(scores), "scores"), None
+    for th in thresholds:
+        found = events.rapid_onsets(late, P.rapid_days, th, P.rapid_final) if kind == "rapid" else events.runs_below(late, th, P.duration)
+        part = events.by_season(found, _axis(spark, sf_dir), SEASONS).select(F.lit(scale).alias("scale"), F.lit(float(th)).alias("threshold"), "*")
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
 def sensitivity_sweep(spark, sf_dir):
-    """Mean degree and valid nodes over thresholds, seasons and tolerances; a threshold's events are extracted once."""
-    scores = materialize(events.after_burn_in(_scores(spark, sf_dir)), "scores")
-    axis, grid = _axis(spark, sf_dir), src.grid(spark, sf_dir)
-    parts = [events.by_season(events.runs_below(scores, th, P.duration), axis, SEASONS).withColumn("threshold", F.lit(float(th))) for th in SWEEP_THRESHOLDS]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    by = ("threshold", "season", "tau")
-    cases = materialize(every.withColumn("tau", F.explode(F.array(*map(F.lit, SWEEP_TAUS)))), "case-onsets")
-    counts = materialize(sync.valid_counts(cases, by), "case-counts")
-    pairs = sync.strength(sync.met_pairs(cases, "tau", by))
-    critical = surrogate.critical_values(counts, events.season_lengths(axis, SEASONS), "tau", SWEEP_SURROGATES, by)
-    edges = surrogate.significant_edges(pairs, critical, by)
-    n = grid.count()
-    degrees = edges.groupBy(*by).agg((2 * F.count_if("sig_strength") / F.lit(float(n * max(1, n - 1)))).alias("mean_dc"))
-    nodes = counts.groupBy(*by).agg(F.count("*").alias("valid_nodes"))
-    return nodes.join(degrees, list(by), "left").select(*by, F.coalesce("mean_dc", F.lit(0.0)).alias("mean_dc"), "valid_nodes")
+    """Mean degree and valid nodes over scales, thresholds, seasons and tolerances, up to 135 networks in one plan.
+
+    Events are joined once for all tolerances of a case, and its surrogates are drawn once. Cases with fewer than ten valid
+    nodes have no network.
+    """
+    axis, n = _axis(spark, sf_dir), src.grid(spark, sf_dir).count()
+    every = None
+    for scale in SWEEP:
+        part = _sweep_events(spark, sf_dir, scale)
+        every = part if every is None else every.unionByName(part)
+    by, each = ("scale", "threshold", "season"), ("scale", "threshold", "season", "tau")
+    cases = materialize(every, "case-onsets")
+    enough = stages.enough(sync.valid_counts(cases, by), by, SWEEP_NODES)
+    kept = materialize(cases.join(F.broadcast(enough), list(by), "left_semi"), "kept-onsets")  # 45 cases
+    counts = materialize(sync.valid_counts(kept, by), "case-counts")
+    of_scale = F.when(F.lit(False), F.array(F.lit(0)))
+    for scale in SWEEP:
+        of_scale = of_scale.when(F.col("scale") == scale, F.array(*map(F.lit, TAU_SENSITIVITY[scale])))
+    pairs = sync.strength(sync.met_pairs(kept, of_scale, by))
+    critical = surrogate.critical_values(counts, events.season_lengths(axis, SEASONS), of_scale, SWEEP_SURROGATES, by)
+    edges = surrogate.significant_edges(pairs, critical, each)
+    degrees = edges.groupBy(*each).agg((2 * F.count_if("sig_strength") / F.lit(float(n * max(1, n - 1)))).alias("mean_dc"))
+    nodes = counts.groupBy(*by).agg(F.count("*").alias("valid_nodes")).withColumn("tau", F.explode(of_scale))
+    return nodes.join(degrees, list(each), "left").select(*each, F.coalesce("mean_dc", F.lit(0.0)).alias("mean_dc"), "valid_nodes")
 
 
 NAMES = """panel_daily rolling_accumulation zero_fraction gamma_fit lognormal_fit aic_selection gof_stats distribution_fits spi gof_summary

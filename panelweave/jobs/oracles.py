@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelweave.config import BURN_IN_DAYS, FIXTURE, MIN_EVENTS, SEASONS, SURROGATE_QUANTILE
+from panelweave.config import BURN_IN_DAYS, FIXTURE, MIN_EVENTS, SEASONS, SURROGATE_QUANTILE, TAU_SENSITIVITY
 from panelweave.functions import special
-from panelweave.jobs.catalog import DIGITS, FOLDS, RINGS, SINK_FOLD, SOURCE_FOLD, SWEEP_SURROGATES, SWEEP_TAUS, SWEEP_THRESHOLDS
+from panelweave.jobs.catalog import DIGITS, FOLDS, RINGS, SINK_FOLD, SOURCE_FOLD, SWEEP, SWEEP_NODES, SWEEP_SURROGATES
 from panelweave.operators import surrogate
 
 P = FIXTURE
@@ -31,9 +31,9 @@ def _ppf(p: str) -> str:
     return f"(CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 0.97575 THEN -({tail}) ELSE {middle} END)"
 
 
-def _series(prefix: str, panel: str) -> None:
+def _series(prefix: str, panel: str, scale: int = P.scale) -> None:
     """From a panel to onsets: accumulation, moments, scores, scores behind the burn-in, numbered runs."""
-    CTES[f"{prefix}acc"] = f"""SELECT node_id, t, CASE WHEN t >= {P.scale} THEN sum(value) OVER (PARTITION BY node_id ORDER BY t ROWS {P.scale - 1} PRECEDING)::DOUBLE END AS acc FROM {panel}"""
+    CTES[f"{prefix}acc"] = f"""SELECT node_id, t, CASE WHEN t >= {scale} THEN sum(value) OVER (PARTITION BY node_id ORDER BY t ROWS {scale - 1} PRECEDING)::DOUBLE END AS acc FROM {panel}"""
     CTES[f"{prefix}mom"] = f"""SELECT node_id, count(*) AS n, avg(acc) AS mean, avg(ln(acc)) AS mean_log, stddev_samp(ln(acc)) AS sd_log, sum(ln(acc) * ln(acc)) AS sum_log2 FROM {prefix}acc WHERE acc > 0 GROUP BY node_id"""
     CTES[f"{prefix}scores"] = f"""SELECT a.node_id, t, CASE WHEN acc > 0 THEN round((ln(acc) - mean_log) / sd_log, 6) END AS z FROM {prefix}acc a LEFT JOIN {prefix}mom m ON a.node_id = m.node_id"""
     CTES[f"{prefix}late"] = f"""SELECT node_id, t - {BURN_IN_DAYS} AS t, z FROM {prefix}scores WHERE t >= {BURN_IN_DAYS}"""
@@ -46,6 +46,16 @@ def _runs(late: str, threshold: float, more: str = "") -> str:
       HAVING max(t) - min(t) >= {P.duration})"""
 
 
+def _rapid(late: str, change: float) -> str:
+    return f"""SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY start_t)::INT AS seq, start_t::INT AS start_t, end_t::INT AS end_t FROM (
+        SELECT m.node_id, k, min(next_low) AS start_t, max(end_t) AS end_t FROM (
+          SELECT node_id, t, lead(z, {P.rapid_days}) OVER w - z AS delta, min(CASE WHEN z <= {P.rapid_final} THEN t END) OVER a AS next_low, count(z) OVER a AS present, max(t) OVER (PARTITION BY node_id) AS last FROM {late}
+          WINDOW w AS (PARTITION BY node_id ORDER BY t), a AS (PARTITION BY node_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {P.rapid_days - 1} FOLLOWING)) m
+        JOIN (SELECT node_id, t, k, max(t) OVER (PARTITION BY node_id, k) AS end_t FROM (SELECT node_id, t, t - row_number() OVER (PARTITION BY node_id ORDER BY t) AS k FROM {late} WHERE z <= {P.rapid_final})) e
+          ON m.node_id = e.node_id AND m.next_low = e.t
+        WHERE delta <= {change} AND present = {P.rapid_days} AND m.t <= last - {P.rapid_days + 1} GROUP BY m.node_id, k)"""
+
+
 CTES["grid"] = "SELECT n_nationkey::BIGINT AS node_id, (n_nationkey // 5)::INT AS lat_idx, (n_nationkey % 5)::INT AS lon_idx, 20 + 0.25 * (n_nationkey // 5)::DOUBLE AS lat, 100 + 0.25 * (n_nationkey % 5)::DOUBLE AS lon FROM nation"
 CTES["record"] = "SELECT min(o_orderdate)::DATE AS d0, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) + 1 AS days FROM orders"
 CTES["span"] = f"SELECT days - {BURN_IN_DAYS} AS days FROM record"
@@ -155,18 +165,27 @@ CTES["starts"] = f"SELECT DISTINCT start_t AS start FROM onsets SEMI JOIN (SELEC
 CTES["windows"] = f"SELECT variable, region, start, lag, value FROM means JOIN (SELECT start, unnest(range({P.lags[0]}, {P.lags[1] + 1}))::INT AS lag FROM starts) w ON t = start + lag"
 CTES["composites"] = "SELECT variable, region, lag, avg(value) AS mean_anomaly, stddev_pop(value) / sqrt((SELECT greatest(1, count(*)) FROM starts)) AS standard_error, (SELECT count(*) FROM starts) AS n_events FROM windows GROUP BY 1, 2, 3"
 CTES["points"] = "SELECT c_custkey, c_nationkey::BIGINT AS node_id, 100 + c_acctbal / 5000 AS lon, 20 + (c_custkey % 100) / 100.0::DOUBLE AS lat FROM customer"
-_BY = ("threshold", "season", "tau")
-CTES["case_onsets"] = "SELECT season, threshold, tau, node_id, row_number() OVER (PARTITION BY season, threshold, tau, node_id ORDER BY start_t) AS seq, start_t FROM (" + " UNION ALL ".join(
-    f"SELECT *, {float(th)}::DOUBLE AS threshold FROM ({_runs('late', th)})" for th in SWEEP_THRESHOLDS
-) + f") o JOIN axis ON axis.t = o.start_t JOIN seasons USING (month), (SELECT unnest([{', '.join(map(str, SWEEP_TAUS))}]) AS tau)"
-CTES["case_valid"] = f"SELECT threshold, season, tau, node_id, count(*) AS n FROM case_onsets GROUP BY ALL HAVING count(*) >= {MIN_EVENTS}"
+for _scale in SWEEP:
+    if _scale != P.scale:
+        _series(f"s{_scale}_", "panel", _scale)
+_BY = ("scale", "threshold", "season", "tau")
+_cases = " UNION ALL ".join(
+    f"SELECT node_id, start_t, {scale} AS scale, {float(th)}::DOUBLE AS threshold, unnest({list(TAU_SENSITIVITY[scale])}) AS tau FROM ({_rapid(late, th) if kind == 'rapid' else _runs(late, th)})"
+    for scale, (kind, thresholds) in SWEEP.items()
+    for late in ["late" if scale == P.scale else f"s{scale}_late"]
+    for th in thresholds
+)
+_EVERY = ", ".join(_BY)
+CTES["case_onsets"] = f"SELECT {_EVERY}, node_id, row_number() OVER (PARTITION BY {_EVERY}, node_id ORDER BY start_t) AS seq, start_t FROM ({_cases}) o JOIN axis ON axis.t = o.start_t JOIN seasons USING (month)"
+CTES["case_nodes"] = f"SELECT {_EVERY}, node_id, count(*) AS n FROM case_onsets GROUP BY ALL HAVING count(*) >= {MIN_EVENTS}"
+CTES["case_valid"] = f"SELECT * FROM case_nodes QUALIFY count(*) OVER (PARTITION BY {_EVERY}) >= {SWEEP_NODES}"
 CTES["case_pairs"] = _pairs("case_onsets", "case_valid", "a.tau", _BY)
-CTES["case_combos"] = "SELECT *, row_number() OVER (PARTITION BY threshold, season, tau ORDER BY ni, nj) AS c FROM (SELECT DISTINCT threshold, season, tau, least(ni, nj) AS ni, greatest(ni, nj) AS nj FROM case_pairs)"
+CTES["case_combos"] = f"SELECT *, row_number() OVER (PARTITION BY {_EVERY} ORDER BY ni, nj) AS c FROM (SELECT DISTINCT {_EVERY}, least(ni, nj) AS ni, greatest(ni, nj) AS nj FROM case_pairs)"
 CTES["case_sized"] = "SELECT * FROM case_combos JOIN lengths USING (season)"
 CTES["case_draws"] = _draws("case_sized", SWEEP_SURROGATES, _BY)
 CTES["case_draws_late"] = _late("case_draws", _BY)
 CTES["case_critical"] = _critical("case_combos", "case_draws", SWEEP_SURROGATES, "tau", _BY)
-CTES["case_edges"] = """SELECT p.threshold, p.season, p.tau, count(*) FILTER (j_j2i + j_i2j > crit_sum) AS e FROM case_pairs p JOIN case_critical c ON p.threshold = c.threshold AND p.season = c.season AND p.tau = c.tau
+CTES["case_edges"] = f"""SELECT {", ".join(f"p.{c}" for c in _BY)}, count(*) FILTER (j_j2i + j_i2j > crit_sum) AS e FROM case_pairs p JOIN case_critical c ON {" AND ".join(f"p.{c} = c.{c}" for c in _BY)}
   AND least(p.ni, p.nj) = c.ni AND greatest(p.ni, p.nj) = c.nj GROUP BY ALL"""
 
 _ORDER = list(CTES)
@@ -220,15 +239,7 @@ ORACLES = {
     "log_scores": _with("SELECT node_id, t, z FROM scores"),
     "drought_runs": _with("SELECT node_id, seq, start_t, end_t FROM onsets"),
     "event_counts": _with("SELECT grid.node_id, count(seq) AS n_events FROM grid LEFT JOIN onsets USING (node_id) GROUP BY 1"),
-    "rapid_onset": _with(
-        f"""SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY start_t)::INT AS seq, start_t::INT AS start_t, end_t::INT AS end_t FROM (
-        SELECT m.node_id, k, min(next_low) AS start_t, max(end_t) AS end_t FROM (
-          SELECT node_id, t, lead(z, {P.rapid_days}) OVER w - z AS delta, min(CASE WHEN z <= {P.rapid_final} THEN t END) OVER a AS next_low, count(z) OVER a AS present, max(t) OVER (PARTITION BY node_id) AS last FROM late
-          WINDOW w AS (PARTITION BY node_id ORDER BY t), a AS (PARTITION BY node_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {P.rapid_days - 1} FOLLOWING)) m
-        JOIN (SELECT node_id, t, k, max(t) OVER (PARTITION BY node_id, k) AS end_t FROM (SELECT node_id, t, t - row_number() OVER (PARTITION BY node_id ORDER BY t) AS k FROM late WHERE z <= {P.rapid_final})) e
-          ON m.node_id = e.node_id AND m.next_low = e.t
-        WHERE delta <= {P.rapid_change} AND present = {P.rapid_days} AND m.t <= last - {P.rapid_days + 1} GROUP BY m.node_id, k)"""
-    ),
+    "rapid_onset": _with(_rapid("late", P.rapid_change)),
     "season_events": _with("SELECT season, node_id, count(*) AS n_events, min(start_t) AS first_start, any_value(season_length) AS season_length FROM onsets o JOIN axis ON axis.t = o.start_t JOIN seasons USING (month) JOIN lengths USING (season) GROUP BY 1, 2"),
     "sync_pairs": _with("SELECT i, j, ni, nj, j_j2i, j_i2j FROM pairs"),
     "sync_strength": _with("SELECT i, j, q_strength, q_asym FROM pairs"),
@@ -272,7 +283,7 @@ ORACLES = {
     "bowen": "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0 THEN l_extendedprice / l_tax END AS bowen FROM lineitem",
     "haversine": _with(f"SELECT c_custkey, 2 * 6371.0 * atan2(sqrt({_A}), sqrt(1 - {_A})) AS km_atan, 2 * 6371.0 * asin(sqrt(least(1.0, {_A}))) AS km_asin FROM (SELECT p.*, g.lat AS lat2, g.lon AS lon2 FROM points p JOIN grid g USING (node_id))"),
     "sensitivity_sweep": _with(
-        f"SELECT threshold, season, tau, 2 * coalesce(e, 0) / ({_CELLS} * ({_CELLS} - 1))::DOUBLE AS mean_dc, valid_nodes FROM (SELECT threshold, season, tau, count(*) AS valid_nodes FROM case_valid GROUP BY ALL) LEFT JOIN case_edges USING (threshold, season, tau)"
+        f"SELECT {_EVERY}, 2 * coalesce(e, 0) / ({_CELLS} * ({_CELLS} - 1))::DOUBLE AS mean_dc, valid_nodes FROM (SELECT {_EVERY}, count(*) AS valid_nodes FROM case_valid GROUP BY ALL) LEFT JOIN case_edges USING ({_EVERY})"
     ),
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.config import (
@@ -73,7 +73,7 @@ def extract(series: DataFrame, scale: int, threshold: float | None = None) -> Da
 
 
 def cached_critical(
-    counts: DataFrame, lengths: DataFrame, tau: int | str, surrogates: int, by: tuple[str, ...], root: str, quantile: float = SURROGATE_QUANTILE
+    counts: DataFrame, lengths: DataFrame, tau: int | Column, surrogates: int, by: tuple[str, ...], root: str, quantile: float = SURROGATE_QUANTILE
 ) -> DataFrame:
     """Critical values, read from ``root`` if they were made before for the same combinations and parameters, else made and kept.
 
@@ -84,7 +84,7 @@ def cached_critical(
     for part in (surrogate.combinations(counts, by), lengths):
         row_hash = F.xxhash64(*sorted(part.columns)).cast("decimal(20,0)")
         sums.append(tuple(part.agg(F.count("*"), F.sum(row_hash)).first()))
-    tag = hashlib.sha256(repr((sums, tau, surrogates, quantile, by)).encode()).hexdigest()[:20]
+    tag = hashlib.sha256(repr((sums, str(tau), surrogates, quantile, by)).encode()).hexdigest()[:20]
     path = f"{root}/{tag}"
     if not is_complete(counts.sparkSession, path):
         surrogate.critical_values(counts, lengths, tau, surrogates, by, quantile).write.mode("overwrite").parquet(path)
@@ -95,7 +95,7 @@ def _late_index(spark: SparkSession, root: str, scale: int) -> DataFrame:
     return events.after_burn_in(read_stage(spark, f"{root}/spi", scale=scale).select("node_id", "t", "spi"))
 
 
-def _enough(counts: DataFrame, by: tuple[str, ...], least_nodes: int) -> DataFrame:
+def enough(counts: DataFrame, by: tuple[str, ...], least_nodes: int) -> DataFrame:
     """The cases with at least ``least_nodes`` valid nodes: only these have a network."""
     return counts.groupBy(*by).count().where(F.col("count") >= least_nodes).select(*by)
 
@@ -112,19 +112,19 @@ def link_events(
     seasonal = materialize(events.by_season(extract(_late_index(spark, root, scale), scale), days, SEASONS), "seasonal-events")
     write_case(seasonal, f"{root}/events", scale=scale)
     by, tau = ("season",), BASELINE[scale]["tau"]
-    enough = materialize(_enough(sync.valid_counts(seasonal, by), by, least_nodes), "seasons")
-    kept = seasonal.join(F.broadcast(enough), "season", "left_semi")  # five seasons
+    some = materialize(enough(sync.valid_counts(seasonal, by), by, least_nodes), "seasons")
+    kept = seasonal.join(F.broadcast(some), "season", "left_semi")  # five seasons
     counts = materialize(sync.valid_counts(kept, by), "counts")
     pairs = materialize(sync.strength(sync.met_pairs(kept, tau, by)), "pairs")
     critical = cached_critical(counts, events.season_lengths(days, SEASONS), tau, surrogates, by, f"{root}/critical")
     edges = materialize(surrogate.significant_edges(pairs, critical, by), "edges")
     write_case(edges, f"{root}/edges", scale=scale)
     one = F.lit(1).alias("_one")
-    cells = grid.select("node_id", "lat", "lon", one).join(F.broadcast(enough.select("season", one)), "_one").drop("_one")
+    cells = grid.select("node_id", "lat", "lon", one).join(F.broadcast(some.select("season", one)), "_one").drop("_one")
     metrics = network.metrics(edges, cells, by)
     if between:
         found = None
-        for season in [r.season for r in enough.collect()]:  # five at most
+        for season in [r.season for r in some.collect()]:  # five at most
             bc = network.betweenness(edges.where(F.col("season") == season), grid, sample).withColumn("season", F.lit(season))
             found = bc if found is None else found.unionByName(bc)
         metrics = metrics.join(found, [*by, "node_id"]) if found is not None else metrics
@@ -148,22 +148,24 @@ def sweep(
     for threshold in thresholds or THRESHOLD_SENSITIVITY[scale]:
         part = events.by_season(extract(late, scale, threshold), days, SEASONS).withColumn("threshold", F.lit(float(threshold)))
         every = part if every is None else every.unionByName(part)
-    by = ("threshold", "season", "tau")
-    cases = materialize(every.withColumn("tau", F.explode(F.array(*map(F.lit, taus or TAU_SENSITIVITY[scale])))), "case-events")
-    enough = materialize(_enough(sync.valid_counts(cases, by), by, least_nodes), "cases")
-    kept = cases.join(F.broadcast(enough), list(by), "left_semi")  # 45 cases
+    by, each = ("threshold", "season"), ("threshold", "season", "tau")
+    within = F.array(*map(F.lit, taus or TAU_SENSITIVITY[scale]))
+    cases = materialize(every, "case-events")
+    some = materialize(enough(sync.valid_counts(cases, by), by, least_nodes), "cases")
+    kept = cases.join(F.broadcast(some), list(by), "left_semi")  # 15 cases
     counts = materialize(sync.valid_counts(kept, by), "case-counts")
-    pairs = materialize(sync.strength(sync.met_pairs(kept, "tau", by)), "case-pairs")
-    critical = cached_critical(counts, events.season_lengths(days, SEASONS), "tau", surrogates, by, f"{root}/critical")
-    edges = surrogate.significant_edges(pairs, critical, by)
+    pairs = materialize(sync.strength(sync.met_pairs(kept, within, by)), "case-pairs")
+    critical = cached_critical(counts, events.season_lengths(days, SEASONS), within, surrogates, by, f"{root}/critical")
+    edges = surrogate.significant_edges(pairs, critical, each)
     one = F.lit(1).alias("_one")
-    cells = grid.select("node_id", "lat_idx", "lon_idx", one).join(F.broadcast(enough.select(*by, one)), "_one").drop("_one")
-    degree = network.mirrored(edges, by).where("sig_strength").groupBy(*by, "node_id").count()
+    networks = some.select(*by, F.explode(within).alias("tau"), one)
+    cells = grid.select("node_id", "lat_idx", "lon_idx", one).join(F.broadcast(networks), "_one").drop("_one")
+    degree = network.mirrored(edges, each).where("sig_strength").groupBy(*each, "node_id").count()
     rest = float(max(1, grid.count() - 1))
-    dc = cells.join(degree, [*by, "node_id"], "left").select(*by, "node_id", "lat_idx", "lon_idx", (F.coalesce("count", F.lit(0)) / rest).alias("dc"))
+    dc = cells.join(degree, [*each, "node_id"], "left").select(*each, "node_id", "lat_idx", "lon_idx", (F.coalesce("count", F.lit(0)) / rest).alias("dc"))
     write_case(dc, f"{root}/sensitivity", scale=scale)
     nodes = counts.groupBy(*by).agg(F.count("*").alias("valid_nodes"))
-    means = read_stage(spark, f"{root}/sensitivity", scale=scale).groupBy(*by).agg(F.avg("dc").alias("mean_dc"))
+    means = read_stage(spark, f"{root}/sensitivity", scale=scale).groupBy(*each).agg(F.avg("dc").alias("mean_dc"))
     summary = nodes.join(means, list(by)).select(F.lit(scale).alias("scale"), "season", "threshold", "tau", "mean_dc", "valid_nodes")
     write_summary(summary, f"{root}/sensitivity_summary/scale={scale}")
     return summary
@@ -202,6 +204,8 @@ def find_pathway(
 def find_pathways(spark: SparkSession, root: str, grid: DataFrame, cases: tuple[tuple[int, str], ...] = CASES, **limits: float) -> DataFrame | None:
     """:func:`find_pathway` for every case that has a network; the pairs of all cases, also under ``root``/source_sink_summary.
 
+    A case with pairs has its own table under ``root``/paired_regions.
+
     Cases without a network are passed over, and None comes back if there is none at all.
     """
     every = None
@@ -209,6 +213,9 @@ def find_pathways(spark: SparkSession, root: str, grid: DataFrame, cases: tuple[
         if not (has_case(spark, f"{root}/metrics", scale=scale, season=season) and has_case(spark, f"{root}/edges", scale=scale)):
             continue
         found = find_pathway(spark, root, scale, season, grid, **limits).select(F.lit(scale).alias("scale"), F.lit(season).alias("season"), "*")
+        found = materialize(found, "pathway-rows")
+        if not found.isEmpty():
+            write_summary(found.orderBy("pair_id"), case_path(f"{root}/paired_regions", scale=scale, season=season))
         every = found if every is None else every.unionByName(found)
     if every is not None:
         every = materialize(every, "pathways")
@@ -254,8 +261,13 @@ def composite_cases(
     return read_stage(spark, f"{root}/composites") if done else None
 
 
-def plot_table(composites: DataFrame, most: int = 6) -> DataFrame:
-    """The rows of the first ``most`` variables by name, with the band of one standard error around the mean."""
-    kept = composites.select("variable").distinct().orderBy("variable").limit(most)
+def plot_table(composites: DataFrame, variables: tuple[str, ...], most: int = 6) -> DataFrame:
+    """The rows of the first ``most`` of ``variables`` that occur, in their order, with their ``place`` and the band of one standard error.
+
+    A table has no order of its own, so the order in which variables were analysed is given. Repeated names count once.
+    """
+    order = composites.sparkSession.createDataFrame([(v, k) for k, v in enumerate(dict.fromkeys(variables))], "variable string, place int")
+    found = composites.select("variable").distinct().join(F.broadcast(order), "variable")  # names that are given
+    kept = found.orderBy("place").limit(most)
     upper, lower = F.col("mean_anomaly") + F.col("standard_error"), F.col("mean_anomaly") - F.col("standard_error")
-    return composites.join(F.broadcast(kept), "variable", "left_semi").withColumn("lower", lower).withColumn("upper", upper)
+    return composites.join(F.broadcast(kept), "variable").withColumn("lower", lower).withColumn("upper", upper)

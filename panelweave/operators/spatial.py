@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.config import GI_P, GI_Z
 from panelweave.functions.graph import connected_components
+from panelweave.functions.lineage import materialize
 from panelweave.functions.special import normal_cdf
 
 _EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -108,33 +109,108 @@ def region_labels(pathway: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def polygon_edges(rings: DataFrame) -> DataFrame:
-    """(x1, y1, x2, y2): the sides of closed rings of vertices (ring, place, x, y); rings of holes and of other parts alike."""
-    by_ring = Window.partitionBy("ring").orderBy("place")
-    first = Window.partitionBy("ring")
-    ends = rings.withColumn("x2", F.lead("x").over(by_ring)).withColumn("y2", F.lead("y").over(by_ring))
+    """(shape, x1, y1, x2, y2): the sides of closed rings of vertices ([shape], ring, place, x, y); rings of holes and of other parts alike.
+
+    Without a column ``shape``, all rings are one shape.
+    """
+    named = rings if "shape" in rings.columns else rings.withColumn("shape", F.lit(0))
+    by_ring = Window.partitionBy("shape", "ring").orderBy("place")
+    first = Window.partitionBy("shape", "ring")
+    ends = named.withColumn("x2", F.lead("x").over(by_ring)).withColumn("y2", F.lead("y").over(by_ring))
     ends = ends.withColumn("_x", F.min_by("x", "place").over(first)).withColumn("_y", F.min_by("y", "place").over(first))
-    return ends.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce("x2", "_x").alias("x2"), F.coalesce("y2", "_y").alias("y2"))
+    return ends.select("shape", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce("x2", "_x").alias("x2"), F.coalesce("y2", "_y").alias("y2"))
+
+
+def dissolve(edges: DataFrame) -> DataFrame:
+    """(x1, y1, x2, y2): the outer boundary of shapes that meet along whole sides: sides that an even number of them has are gone.
+
+    Sides are equal whatever their direction; what remains keeps the direction of the first of them. Shapes must meet in
+    sides and not overlap; for shapes that overlap, :func:`inside_polygon` takes the shapes as they are.
+    """
+    turned = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
+    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    pair = edges.select(F.when(turned, end("x2", "y2")).otherwise(end("x1", "y1")).alias("a"), F.when(turned, end("x1", "y1")).otherwise(end("x2", "y2")).alias("b"), turned.alias("t"))
+    kept = pair.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("t").alias("t")).where("n % 2 = 1")
+    start, stop = F.when(F.col("t"), F.col("b")).otherwise(F.col("a")), F.when(F.col("t"), F.col("a")).otherwise(F.col("b"))
+    return kept.select(start.alias("s"), stop.alias("e")).select(F.col("s.x").alias("x1"), F.col("s.y").alias("y1"), F.col("e.x").alias("x2"), F.col("e.y").alias("y2"))
+
+
+def chain_rings(edges: DataFrame) -> DataFrame:
+    """(ring, place, x, y): directed sides in which every vertex is left as often as it is reached, chained to closed rings.
+
+    Where rings touch in a vertex, its sides are paired in the order of their other ends; any pairing gives the same area. A ring is named by the
+    number of its first side. Places come from pointer doubling: after k rounds a side knows the one 2^k further on,
+    so rounds grow with the logarithm of the longest ring, and each writes its table.
+    """
+    out = Window.partitionBy("x1", "y1").orderBy("x2", "y2")
+    into = Window.partitionBy("x2", "y2").orderBy("x1", "y1")
+    numbered = materialize(edges.select("x1", "y1", "x2", "y2").withColumn("id", F.xxhash64("x1", "y1", "x2", "y2")).withColumn("_o", F.row_number().over(out)).withColumn("_i", F.row_number().over(into)), "sides")
+    after = numbered.select(F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("_o").alias("_i"), F.col("id").alias("next"))
+    links = materialize(numbered.join(after, ["x2", "y2", "_i"]).select("id", "next"), "links")
+    if links.count() != numbered.count():
+        raise ValueError("the sides do not close")
+    rings = materialize(connected_components(links, "id", "next").withColumnsRenamed({"node": "id", "component": "ring"}), "rings")
+    # from each side on to the ring's first one, which is nobody's successor here
+    ahead = materialize(links.join(rings, "id").select("id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("left")), "ahead")
+    while not ahead.where("next IS NOT NULL").isEmpty():
+        beyond = ahead.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left"))
+        moved = ahead.where("next IS NOT NULL").join(beyond, "next").select("id", "ring", F.col("_next").alias("next"), (F.col("left") + F.col("_left")).alias("left"))
+        ahead = materialize(moved.unionByName(ahead.where("next IS NULL")), "ahead")
+    size = ahead.groupBy("ring").agg(F.max("left").alias("size"))
+    placed = ahead.join(size, "ring").select("id", "ring", (F.col("size") - F.col("left")).alias("place"))
+    return placed.join(numbered, "id").select("ring", "place", F.col("x1").alias("x"), F.col("y1").alias("y"))
+
+
+#: Heights of bands are powers of two from the least to the greatest of these exponents.
+LEAST_HEIGHT, GREATEST_HEIGHT = -40, 1000
+
+
+def _crossings(heights: DataFrame, edges: DataFrame) -> DataFrame:
+    """(py, shape, at): where each side crosses each of the heights (py), distinct and not null; a side holds its lower end and not its upper.
+
+    A side lies in the bands of the power of two next above its own height, so in two at most, and a height looks into
+    one band for each power that sides have: short sides are met only by heights beside them, however many there are.
+    """
+    rise = F.abs(F.col("y2") - F.col("y1"))
+    power = F.greatest(F.lit(LEAST_HEIGHT), F.least(F.lit(GREATEST_HEIGHT), F.ceil(F.log2(rise)))).cast("int")
+    sides = edges.where("y1 <> y2 AND x1 IS NOT NULL AND x2 IS NOT NULL").withColumn("_power", power)
+    powers = [r[0] for r in sides.select("_power").distinct().collect()]  # a power of two each
+    band = lambda y, p: F.floor(y / F.pow(F.lit(2.0), p))
+    spread = sides.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2"), F.col("_power")), band(F.greatest("y1", "y2"), F.col("_power")))))
+    asked = heights.withColumn("_power", F.explode(F.array(*map(F.lit, powers)).cast("array<int>"))).withColumn("_band", band(F.col("py"), F.col("_power")))
+    met = asked.join(spread, ["_power", "_band"]).where((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py")))
+    at = (F.col("py") - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))) + F.col("x1")
+    return met.select("py", "shape", at.alias("at"))
+
+
+def _scanned(places: DataFrame, edges: DataFrame) -> DataFrame:
+    """(px, py) of the distinct places that are inside any shape: along each height, crossings and places in order of x, and how many shapes are open.
+
+    As rings are closed, a shape has an even number of crossings at a height: its odd ones open it and its even ones
+    close it. A place is inside if more were opened than closed at or before it.
+    """
+    turn = F.row_number().over(Window.partitionBy("py", "shape").orderBy("at"))
+    at = _crossings(places.select("py").distinct(), edges).withColumn("_turn", F.when(turn % 2 == 1, 1).otherwise(-1))
+    line = at.select("py", F.col("at").alias("px"), F.col("_turn").alias("_step"), F.lit(0).alias("_place"))
+    line = line.unionByName(places.select("py", "px", F.lit(0).alias("_step"), F.lit(1).alias("_place")))
+    opened = F.sum("_step").over(Window.partitionBy("py").orderBy("px", "_place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return line.withColumn("_open", opened).where("_place = 1 AND _open > 0").select("px", "py")
 
 
-def inside_polygon(points: DataFrame, edges: DataFrame, key: str, x: str = "lon", y: str = "lat", bands: int = 256) -> DataFrame:
-    """(key, inside) for each row of ``points``: the parity of the sides that it sees to its right, so holes are outside.
+def inside_polygon(points: DataFrame, edges: DataFrame, key: str, x: str = "lon", y: str = "lat") -> DataFrame:
+    """(key, inside) for each row of ``points``: whether it lies in any shape, an odd number of the shape's sides away from the outside, so holes are outside.
 
-    Sides and points meet in bands of y, of which a side is in those that it spans; a boundary of many vertices is a
-    table, not part of the plan.
+    Every place is judged once, whatever the number of rows there, and rows may repeat keys. A row with a null or NaN
+    coordinate is outside, as is every row where there are no sides. Places of one height are a scanline: see :func:`_scanned`.
     """
-    span = edges.agg(F.min(F.least("y1", "y2")).alias("a"), F.max(F.greatest("y1", "y2")).alias("z")).first()
-    if span.a is None:
-        return points.select(key, F.lit(False).alias("inside"))
-    height = (span.z - span.a) / bands or 1.0
-    band = lambda c: F.greatest(F.lit(-1), F.least(F.lit(bands + 1), F.floor((c - F.lit(span.a)) / F.lit(height)))).cast("int")
-    sides = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
-    at = (F.col("_py") - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))) + F.col("x1")
-    crossed = ((F.col("y1") > F.col("_py")) != (F.col("y2") > F.col("_py"))) & (F.col("_px") < at)
-    placed = points.select(F.col(key).alias("_key"), F.col(x).alias("_px"), F.col(y).alias("_py")).withColumn("_band", band(F.col("_py")))
-    hits = placed.join(sides, "_band").where(crossed).groupBy("_key").agg(F.count("*").alias("_n"))
-    return points.join(hits, F.col(key) == F.col("_key"), "left").select(key, (F.coalesce("_n", F.lit(0)) % 2 == 1).alias("inside"))
+    good = lambda c: c.isNotNull() & ~F.isnan(c)
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    edges = edges if "shape" in edges.columns else edges.withColumn("shape", F.lit(0))
+    named = points.select(F.col(key).alias("_key"), F.when(good(px) & good(py), px).alias("px"), F.when(good(px) & good(py), py).alias("py"))
+    found = _scanned(named.where("px IS NOT NULL").select("px", "py").distinct(), edges).withColumn("_in", F.lit(True))
+    return named.join(found, ["px", "py"], "left").select(F.col("_key").alias(key), F.coalesce("_in", F.lit(False)).alias("inside"))
 
 
 def cells_inside(grid: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id) of the cells whose centre lies inside."""
+    """(node_id) of the cells whose centre lies inside: a row of the grid is one scanline, whose work is its cells and crossings."""
     return inside_polygon(grid, edges, "node_id").where("inside").select("node_id")

@@ -45,41 +45,55 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], width:
     return a.join(b, [*keys, "_b"]).where(F.abs(F.col("ta") - F.col("tb")) < width).drop("_b")
 
 
-def doubled_counts(onsets: DataFrame, tau: int | str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, i, j, jj_j2i, jj_i2j) for pairs i < j of valid nodes with any synchronization; twice the counts, as whole numbers.
+def doubled_counts(onsets: DataFrame, tau: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, [tau], i, j, jj_j2i, jj_i2j) for pairs i < j of valid nodes with any synchronization; twice the counts, as whole numbers.
 
     Over events but the first of each node: equal days count a half both ways, and an event within less than ``tau``
-    days after one of the other node counts one for the direction from that other. ``tau`` is a number of days, or a
-    column of ``by``.
+    days after one of the other node counts one for the direction from that other. ``tau`` is a number of days, or an
+    expression over columns of ``by`` that gives an array of them; then events are joined once, within the largest, the pairs'
+    lags are counted by the least tau that they are within, and each tau's counts are sums of those up to it.
     """
-    width = F.lit(tau) if isinstance(tau, int) else F.col(tau)
+    single = isinstance(tau, int)
+    taus = F.array(F.lit(tau)) if single else F.array_sort(tau.cast("array<int>"))
     valid = valid_counts(onsets, by).select(*by, "node_id")
     later = onsets.where("seq >= 2").join(valid, [*by, "node_id"], "left_semi")
-    later = later.select(*by, "node_id", "start_t")
+    later = later.select(*by, "node_id", "start_t", taus.alias("_taus"))
+    width = F.array_max("_taus")
     held = later.groupBy(*by, F.floor(F.col("start_t") / width).alias("_b")).agg(F.count("*").alias("n"), F.max("node_id").alias("top"))
     size = held.agg(F.max("n").alias("n"), F.max("top").alias("top")).first()  # of the fullest time bucket
-    a, b = later.withColumnsRenamed({"node_id": "i", "start_t": "ta"}), later.withColumnsRenamed({"node_id": "j", "start_t": "tb"})
-    a, b = _dealt(a, b, max(1, -(-(size.n or 0) // BLOCK_EVENTS)), size.top or 0)
-    near = near_pairs(a, b, (*by, "_p", "_q"), width).where("i < j")
+    a, b = later.withColumnsRenamed({"node_id": "i", "start_t": "ta"}), later.drop("_taus").withColumnsRenamed({"node_id": "j", "start_t": "tb"})
+    a, b = _dealt(a, b.withColumn("_width", F.array_max(taus)), max(1, -(-(size.n or 0) // BLOCK_EVENTS)), size.top or 0)
+    near = near_pairs(a.withColumn("_width", width), b, (*by, "_p", "_q", "_width"), F.col("_width")).where("i < j")
     d = F.col("ta") - F.col("tb")
-    return near.groupBy(*by, "i", "j").agg(
-        F.sum(F.when(d == 0, 1).when(d > 0, 2).otherwise(0)).alias("jj_j2i"), F.sum(F.when(d == 0, 1).when(d < 0, 2).otherwise(0)).alias("jj_i2j")
-    )
+    ahead, behind = F.sum(F.when(d == 0, 1).when(d > 0, 2).otherwise(0)), F.sum(F.when(d == 0, 1).when(d < 0, 2).otherwise(0))
+    if single:
+        return near.groupBy(*by, "i", "j").agg(ahead.alias("jj_j2i"), behind.alias("jj_i2j"))
+    place = F.size(F.filter("_taus", lambda t: t <= F.abs(d)))  # of the least tau that the lag is within
+    bins = near.groupBy(*by, "i", "j", "_taus", place.alias("_bin")).agg(ahead.alias("ahead"), behind.alias("behind"))
+    found = bins.groupBy(*by, "i", "j", "_taus").agg(F.collect_list(F.struct("_bin", "ahead", "behind")).alias("_bins"))
+    each = found.select(*by, "i", "j", "_bins", F.posexplode("_taus").alias("_k", "tau"))
+    upto = lambda side: F.aggregate("_bins", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_bin"] <= F.col("_k"), x[side]).otherwise(0))
+    read = each.select(*by, "tau", "i", "j", upto("ahead").alias("jj_j2i"), upto("behind").alias("jj_i2j"))
+    return read.where("jj_j2i > 0 OR jj_i2j > 0")
 
 
 def _halved(c: str) -> Column:
     return (F.coalesce(F.col(c), F.lit(0)) / 2).alias(c[1:])
 
 
-def met_pairs(onsets: DataFrame, tau: int | str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, i, j, ni, nj, j_j2i, j_i2j) of the pairs of valid nodes with any synchronization: all that can be significant."""
+def met_pairs(onsets: DataFrame, tau: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, [tau], i, j, ni, nj, j_j2i, j_i2j) of the pairs of valid nodes with any synchronization: all that can be significant.
+
+    ``tau`` as in :func:`doubled_counts`.
+    """
     counts = valid_counts(onsets, by)
     found = doubled_counts(onsets, tau, by)
+    own = [*by] if isinstance(tau, int) else [*by, "tau"]
     found = found.join(counts.withColumnsRenamed({"node_id": "i", "n": "ni"}), [*by, "i"]).join(counts.withColumnsRenamed({"node_id": "j", "n": "nj"}), [*by, "j"])
-    return found.select(*by, "i", "j", "ni", "nj", _halved("jj_j2i"), _halved("jj_i2j"))
+    return found.select(*own, "i", "j", "ni", "nj", _halved("jj_j2i"), _halved("jj_i2j"))
 
 
-def sync_pairs(onsets: DataFrame, tau: int | str, by: tuple[str, ...] = ()) -> DataFrame:
+def sync_pairs(onsets: DataFrame, tau: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, i, j, ni, nj, j_j2i, j_i2j) for every pair of valid nodes, zeros included."""
     found = doubled_counts(onsets, tau, by)
     pairs = node_pairs(valid_counts(onsets, by), by)

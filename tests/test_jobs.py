@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from panelweave.config import SEASONS
 from panelweave.jobs import stages
 from panelweave.sources import grids, panel, sinks
-from panelweave.streaming.daily import daily_panel
 
 
 def test_grids_become_panels(spark):
@@ -109,22 +108,18 @@ def test_from_network_to_composites(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(stages.LEAD_LAG_WINDOWS, 30, (-3, 3))
     every = stages.composite_cases(spark, root, variables, twice, 2 * days, cases, offset=5, width=1)
     assert sorted(map(str, every.drop("scale", "season").collect())) == sorted(map(str, out.collect())) and {(r.scale, r.season) for r in every.collect()} == {(30, "annual")}
-    assert stages.plot_table(every).where("variable = 'v' AND upper >= lower").count() == 14
+    assert stages.plot_table(every, ("v",)).where("variable = 'v' AND upper >= lower").count() == 14
     pairs = stages.find_pathways(spark, root, cells, cases)
     assert [(r.scale, r.season, r.pair_id, r.flux_ratio) for r in pairs.collect()] == [(30, "annual", 1, 0.75)]
     assert len(list((tmp_path / "run" / "source_sink_summary").glob("*.csv"))) == len(list((tmp_path / "run" / "lead_lag" / "scale=30" / "season=annual").glob("*.csv"))) == 1
+    assert len(list((tmp_path / "run" / "paired_regions" / "scale=30" / "season=annual").glob("*.csv"))) == 1
     assert stages.find_pathways(spark, root, cells, cases[:1]) is None and stages.composite_cases(spark, root, variables, twice, 2 * days, cases[2:]) is None
     assert len(got) == 14 and got["source", 2] == (0.5, 0.0, 2) and got["sink", 2] == (0.0, 0.0, 2) and got["source", 0][0] == 0.0
 
 
-def test_stream_of_records_sums_closed_days(spark, tmp_path):
-    day = lambda d, h: datetime.datetime(2024, 1, d, h)
-    batches = [[(1, day(1, 3), 2.0), (1, day(1, 9), 3.0), (2, day(2, 1), 1.0)], [(1, day(1, 20), 4.0), (1, day(9, 0), 5.0)], [(2, day(20, 0), 7.0)], [(1, day(1, 5), 100.0)]]
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
-    stream = spark.readStream.schema("user_id long, ts timestamp, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
-    out, mark = f"file://{tmp_path}/out", f"file://{tmp_path}/mark"
-    query = daily_panel(stream, "user_id", "ts", "value").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    assert query.awaitTermination(120)
-    got = {(r.node_id, r.date.day): r.value for r in spark.read.parquet(out).collect()}
-    assert got == {(1, 1): 9.0, (2, 2): 1.0, (1, 9): 5.0}
+def test_plots_take_the_first_six_variables_in_the_order_of_the_analysis(spark):
+    order = ("W500", "Pre", "Tm", "VPD", "SWL1", "Pre", "Bowen", "Zeta", "Alpha")
+    rows = [(v, k, 1.0, 0.5) for v in set(order) - {"Tm"} for k in range(3)]
+    found = stages.plot_table(spark.createDataFrame(rows, "variable string, lag int, mean_anomaly double, standard_error double"), order)
+    by = {r.variable: r.place for r in found.collect()}
+    assert sorted(by, key=by.get) == ["W500", "Pre", "VPD", "SWL1", "Bowen", "Zeta"] and found.count() == 18

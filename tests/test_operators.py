@@ -115,6 +115,61 @@ def test_draws_equal_the_generator_step_by_step(spark):
     assert len(got) == 12
 
 
+def brute_draws(c, s, n, length, factors):
+    state, days = (((c * factors[0]) ^ (s * factors[1])) & 0x7FFFFFFF) * 1103515245 + 12345, []
+    for _ in range(n):
+        state = (state % 2**31) * 1103515245 + 12345
+        days.append(state % 2**31 % length)
+    return sorted(days)[1:]
+
+
+def brute_critical(ni, nj, c, length, tau, surrogates, quantile):
+    sums, diffs = [], []
+    for s in range(1, surrogates + 1):
+        a, b = brute_draws(c, s, ni, length, (2654435769, 2246822519)), brute_draws(c, s, nj, length, (2246822519, 2654435769))
+        d = [x - y for x in a for y in b if abs(x - y) < tau]
+        sums.append(len(d))
+        diffs.append(abs(sum((x > 0) - (x < 0) for x in d)))
+    return np.percentile(sums, 100 * quantile), np.percentile(diffs, 100 * quantile)
+
+
+def test_critical_values_equal_plain_loops_for_every_tau(spark, monkeypatch):
+    numbers = {"x": [3, 3, 5, 9, 9, 9], "y": [4, 7], "z": [6]}
+    counts = spark.createDataFrame([(case, k, n) for case, own in numbers.items() for k, n in enumerate(own)], "case string, node_id long, n long")
+    lengths = spark.createDataFrame([("x", 60), ("y", 7), ("z", 9)], "case string, season_length long")
+    taus = F.when(F.col("case") == "x", F.array(F.lit(2), F.lit(9), F.lit(40))).otherwise(F.array(F.lit(1), F.lit(3)))
+    combos = {(r.case, r.ni, r.nj): r.c for r in surrogate.combinations(counts, ("case",)).collect()}
+    assert combos == {("x", 3, 3): 1, ("x", 3, 5): 2, ("x", 3, 9): 3, ("x", 5, 9): 4, ("x", 9, 9): 5, ("y", 4, 7): 1}
+    for block in (1_000_000, 20):  # in one block of surrogates and in many
+        monkeypatch.setattr(surrogate, "BLOCK_DRAWS", block)
+        got = {(r.case, r.tau, r.ni, r.nj, r.c): (r.crit_sum, r.crit_diff) for r in surrogate.critical_values(counts, lengths, taus, 37, ("case",), 0.9).collect()}
+        want = {(case, tau, ni, nj, c): brute_critical(ni, nj, c, {"x": 60, "y": 7}[case], tau, 37, 0.9) for (case, ni, nj), c in combos.items() for tau in ((2, 9, 40) if case == "x" else (1, 3))}
+        assert got == want
+    one = surrogate.critical_values(counts.where("case = 'x'").drop("case"), 60, 9, 37, (), 0.9)
+    assert {(r.ni, r.nj): (r.crit_sum, r.crit_diff) for r in one.collect()} == {k[2:4]: v for k, v in want.items() if k[0] == "x" and k[1] == 9}
+    assert surrogate.critical_values(counts.where("case = 'z'"), lengths, taus, 37, ("case",)).count() == 0
+
+
+def test_critical_values_are_made_without_joins_and_with_one_exchange_of_combinations(spark):
+    counts = spark.range(50).selectExpr("id AS node_id", "3 + id % 7 AS n")
+    plan = surrogate.critical_values(counts, 500, 9, 100)._jdf.queryExecution().executedPlan().toString()
+    made = plan[: plan.index("MapInArrow") + 400]
+    assert "NestedLoop" not in plan and "Join" not in plan and made.count("Exchange") == 1
+
+
+def test_all_tolerances_from_one_join_equal_each_by_itself(spark):
+    rng = random.Random(11)
+    days = {(case, node): sorted(rng.sample(range(300), rng.randint(2, 12))) for case in "pq" for node in range(9)}
+    rows = [(case, node, k + 1, t, t) for (case, node), own in days.items() for k, t in enumerate(own)]
+    table = spark.createDataFrame(rows, "case string, node_id long, seq int, start_t int, end_t int")
+    within = {"p": [20, 3, 8], "q": [1, 50]}
+    taus = F.when(F.col("case") == "p", F.array(*map(F.lit, within["p"]))).otherwise(F.array(*map(F.lit, within["q"])))
+    found = sync.met_pairs(table, taus, ("case",))
+    got = sorted(map(tuple, found.select("case", "tau", "i", "j", "ni", "nj", "j_j2i", "j_i2j").collect()))
+    want = sorted((case, tau, *r) for case, own in within.items() for tau in own for r in sync.met_pairs(table.where(F.col("case") == case).drop("case"), tau).collect())
+    assert got == want and len(got) >= 80
+
+
 def edges(spark, rows):
     return spark.createDataFrame([(i, j, q, a, True, a != 0) for i, j, q, a in rows], "i long, j long, q_strength double, q_asym double, sig_strength boolean, sig_asym boolean")
 
@@ -252,11 +307,31 @@ def test_polygon_parity_with_holes_and_parts(spark):
     rng = random.Random(2)
     places = [(1.0, 1.0), (2.0, 2.0), (3.9, 3.0), (5.0, 1.0), (2.0, 0.5), (1.0, 0.4), (8.5, 8.5), (1e12, -1e12), (1.0, 1e12)] + [(rng.uniform(-1, 10), rng.uniform(-1, 10)) for _ in range(200)]
     points = spark.createDataFrame([(k, *v) for k, v in enumerate(places)], "k int, x double, y double")
-    for bands in (1, 7, 256):
-        got = {r.k: r.inside for r in spatial.inside_polygon(points, sides, "k", "x", "y", bands).collect()}
-        assert got == {k: plain(*v) for k, v in enumerate(places)}
+    got = {r.k: r.inside for r in spatial.inside_polygon(points, sides, "k", "x", "y").collect()}
+    assert got == {k: plain(*v) for k, v in enumerate(places)}
     assert [got[k] for k in range(7)] == [True, False, True, False, True, False, True]
     assert not spatial.inside_polygon(points, sides.limit(0), "k", "x", "y").where("inside").count()
+    # on sides, at corners, in rows of a grid, keys and places that repeat, null keys and coordinates
+    again = [(7, x / 2, y / 2) for x in range(-1, 20) for y in range(-1, 20)] + [(2, 1.0, 1.0)] * 3 + [(2, 5.0, 1.0), (None, 1.0, 1.0), (None, 5.0, 1.0), (3, None, 1.0), (3, 1.0, None), (3, float("nan"), 1.0)]
+    rows = spatial.inside_polygon(spark.createDataFrame(again, "k int, x double, y double").repartition(3), sides, "k", "x", "y").collect()
+    want = [(k, False if x is None or y is None or math.isnan(x) else plain(x, y)) for k, x, y in again]
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    tiny = spark.createDataFrame([(1, 2.0**-60, 2.0**-61), (2, 2.0**-58, 0.0)], "k int, x double, y double")
+    small = [(0.0, 0.0), (2.0**-59, 0.0), (2.0**-59, 2.0**-59), (0.0, 2.0**-59)]
+    own = spatial.polygon_edges(spark.createDataFrame([(0, n, *v) for n, v in enumerate(small)], "ring int, place int, x double, y double"))
+    assert {r.k: r.inside for r in spatial.inside_polygon(tiny, own, "k", "x", "y").collect()} == {1: True, 2: False}
+
+
+def test_a_boundary_of_a_million_sides(spark):
+    # a star with a long spike every fourth corner, so sides are short and tall; its radius tells which places are inside
+    n, k = 1_000_000, F.col("id")
+    angle, radius = k * (2 * math.pi / n), F.when(k % 250_000 == 0, 30.0).otherwise(10.0 + F.pmod(k * 7919, F.lit(1000)) / 1e6)
+    rings = spark.range(n).select(F.lit(0).alias("ring"), k.alias("place"), (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
+    rng = random.Random(8)
+    places = [(j, rng.uniform(-12, 12), rng.uniform(-12, 12)) for j in range(2000)]
+    got = {r.j: r.inside for r in spatial.inside_polygon(spark.createDataFrame(places, "j int, x double, y double"), spatial.polygon_edges(rings), "j", "x", "y").collect()}
+    sure = {j: math.hypot(x, y) for j, x, y in places if not 9.99 < math.hypot(x, y) < 10.01 and min(abs(x), abs(y)) > 0.01}
+    assert len(sure) > 1900 and all(got[j] == (r < 10) for j, r in sure.items())
 
 
 def test_metrics_at_once_equal_those_by_themselves(spark):
