@@ -108,7 +108,9 @@ def write_archives(
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     whole = decide(pages, id_col, url_col, payload_col, min_bytes)
     head = F.substring(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")), 1, SAMPLE_BYTES)
-    picked = pages.select(F.col(url_col).cast("string").alias("url"), head.alias("head"), F.xxhash64(id_col, payload_col).alias("_h")).orderBy("_h").limit(SAMPLE_RECORDS)
+    share = min(1.0, 2 * SAMPLE_RECORDS / max(1, pages.count()))  # so that tasks send about twice as many rows as are picked, all together
+    low = F.pmod(F.xxhash64(id_col, payload_col), F.lit(2**40))
+    picked = pages.select(F.col(url_col).cast("string").alias("url"), head.alias("head"), low.alias("_h")).where(F.col("_h") < int(share * 2**40)).orderBy("_h").limit(SAMPLE_RECORDS)
     dictionary = train([build_record(0, r.url, bytes(r.head), len(r.head), "00" * 20, None, date) for r in picked.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
