@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.config import AIC_SWITCH_THRESHOLD
-from panelweave.functions.special import gamma_cdf, gamma_ppf, normal_cdf_array, normal_ppf_array
+from panelweave.functions.expr import let
+from panelweave.functions.special import gamma_cdf, gamma_p, gamma_p_inverse, gamma_ppf, normal_cdf, normal_cdf_array, normal_ppf, normal_ppf_array
 from panelweave.operators.standardize import clipped_index
 
 #: Positive values and values that a record needs.
@@ -153,13 +154,22 @@ def ppf(family: int, p: list[float], q: np.ndarray) -> np.ndarray:
     return p[2] * gamma_ppf(p[0], q) ** (1 / p[1])
 
 
-def goodness(family: int, p: list[float], x: np.ndarray) -> tuple[float, float, float]:
-    """Correlation with theoretical quantiles, one-sided Kolmogorov distance, Anderson-Darling statistic."""
+#: Plotting positions (rank - 0.3175) / (n + 0.365), and the ends to which probabilities are clipped.
+POSITION, BEYOND, CLIP_QUANTILE, CLIP_DISTANCE = 0.3175, 0.365, 1e-8, 1e-12
+
+
+def goodness(family: int, p: list[float], x: np.ndarray) -> tuple[float | None, float | None, float | None]:
+    """Correlation with theoretical quantiles, one-sided Kolmogorov distance, Anderson-Darling statistic; None where one is not finite.
+
+    A record of one value alone has no correlation.
+    """
     x, n = np.sort(x), len(x)
     i = np.arange(1, n + 1)
-    f = np.clip(cdf(family, p, x), 1e-12, 1 - 1e-12)
-    q = ppf(family, p, (i - 0.3175) / (n + 0.365))
-    return float(np.corrcoef(x, q)[0, 1]), float(np.abs(f - i / n).max()), float(-n - np.mean((2 * i - 1) * (np.log(f) + np.log(1 - f[::-1]))))
+    f = np.clip(cdf(family, p, x), CLIP_DISTANCE, 1 - CLIP_DISTANCE)
+    q = ppf(family, p, np.clip((i - POSITION) / (n + BEYOND), CLIP_QUANTILE, 1 - CLIP_QUANTILE))
+    ppcc = np.corrcoef(x, q)[0, 1] if np.isfinite(q).all() and x[0] < x[-1] else math.nan
+    found = (ppcc, np.abs(f - i / n).max(), -n - np.mean((2 * i - 1) * (np.log(f) + np.log(1 - f[::-1]))))
+    return tuple(float(v) if math.isfinite(v) else None for v in found)
 
 
 def _fit(family: int, x: np.ndarray) -> tuple[list[float], float]:
@@ -194,28 +204,50 @@ def fit_cells(acc: DataFrame, switch: float = AIC_SWITCH_THRESHOLD) -> DataFrame
                 return none
             best = int(np.argmin(aics))
             best = 0 if math.isfinite(aics[0]) and aics[0] - aics[best] <= switch else best
-            ppcc, ks, ad = goodness(best, found[best][0], x)
+            try:
+                ppcc, ks, ad = goodness(best, found[best][0], x)
+            except (ValueError, OverflowError, ZeroDivisionError):
+                ppcc, ks, ad = None, None, None
         finite = [a if math.isfinite(a) else None for a in aics]
         return pd.DataFrame([(node, best, [float(v) for v in found[best][0]], float((values == 0).mean()), finite, ppcc, ks, ad)], columns=names)
 
     return acc.select("node_id", "t", "acc").groupBy("node_id").applyInPandas(fit, schema)
 
 
+def distribution(family: Column, params: Column, x: Column) -> Column:
+    """Distribution function of a fitted family at x > 0, as an expression: null for an unknown family or parameters."""
+    a, b, c = (F.get(params, F.lit(k)) for k in range(3))
+    alpha, beta = 4 / (a * a), 2 / (a * c)
+    lower = gamma_p(alpha, beta * (x - (b - alpha / beta)))
+    return (
+        F.when(family == 0, gamma_p(a, x / b))
+        .when(family == 1, normal_cdf((F.log(x) - a) / b))
+        .when(family == 2, F.when(a > 0, lower).otherwise(1 - lower))
+        .when(family == 3, 1 - F.exp(-F.pow(x / b, a)))
+        .when(family == 4, gamma_p(a, F.pow(x / c, b)))
+    )
+
+
+def quantile(family: Column, params: Column, p: Column) -> Column:
+    """The inverse of :func:`distribution` for 0 < p < 1."""
+    a, b, c = (F.get(params, F.lit(k)) for k in range(3))
+    alpha, beta = 4 / (a * a), 2 / (a * c)
+    return (
+        F.when(family == 0, b * gamma_p_inverse(a, p))
+        .when(family == 1, F.exp(a + b * normal_ppf(p)))
+        .when(family == 2, b - alpha / beta + gamma_p_inverse(alpha, F.when(a > 0, p).otherwise(1 - p)) / beta)
+        .when(family == 3, b * F.pow(-F.log1p(-p), 1 / a))
+        .when(family == 4, c * F.pow(gamma_p_inverse(a, p), 1 / b))
+    )
+
+
 def standardize(acc: DataFrame, fits: DataFrame) -> DataFrame:
     """(node_id, t, spi): the normal quantile of the fitted mix of zeros and a positive family; fits are made once and joined.
 
-    The distribution functions of the families are worked out by arrays, a cell at a time; mix and quantile are columns.
+    One join by node and one expression: no Python worker, and a cell's record need not come together.
     """
-
-    def probability(part: pd.DataFrame) -> pd.DataFrame:
-        family, x = int(part.dist_id.iloc[0]), part.acc.to_numpy(float)
-        out, up = np.full(len(part), np.nan), x > 0
-        if family >= 0 and up.any():
-            with np.errstate(all="ignore"):
-                out[up] = cdf(family, list(part.params.iloc[0]), x[up])
-        return pd.DataFrame({"node_id": part.node_id, "t": part.t, "acc": part.acc, "q": part.zero_fraction, "p": out, "known": family >= 0})
-
     joined = acc.join(fits.select("node_id", "dist_id", "params", "zero_fraction"), "node_id")
-    found = joined.groupBy("node_id").applyInPandas(probability, "node_id long, t int, acc double, q double, p double, known boolean")
-    usable = F.col("known") & F.col("acc").isNotNull() & ~F.isnan("acc")
-    return found.select("node_id", "t", F.when(usable, clipped_index(F.col("p"), F.col("q"), F.col("acc"))).alias("spi"))
+    p = F.when(F.col("acc") > 0, distribution(F.col("dist_id"), F.col("params"), F.col("acc")))
+    usable = (F.col("dist_id") >= 0) & F.col("acc").isNotNull() & ~F.isnan("acc")
+    index = let(F.struct(p.alias("p"), "zero_fraction", "acc"), lambda v: clipped_index(v["p"], v["zero_fraction"], v["acc"]))
+    return joined.select("node_id", "t", F.when(usable, index).alias("spi"))
