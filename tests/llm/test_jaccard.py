@@ -68,3 +68,11 @@ def test_one_row_stays_of_repeated_rows_and_null_ids(spark):
     kept = jaccard.keep_first(frame(spark, rows)).collect()
     assert Counter((r.doc_id, r.text.lower().split()[0]) for r in kept) == Counter([(1, "a"), (None, "c"), (2, "e"), (1, "g")])
     assert jaccard.keep_first(frame(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_and_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long, "mine"), (2, long.upper(), "yours"), (3, long + " and more", "theirs"), (4, "other words altogether", "4")]
+    docs = spark.createDataFrame([(*r, r[2], 7, r[2]) for r in rows], "doc_id long, text string, _own string, own string, _place int, place string")
+    kept = sorted(map(tuple, jaccard.keep_first(docs).select("doc_id", "_own", "own", "_place", "place").collect()))
+    assert kept == [(1, "mine", "mine", 7, "mine"), (4, "4", "4", 7, "4")]

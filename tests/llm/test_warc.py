@@ -84,7 +84,7 @@ def test_archives_lead_with_a_dictionary_and_hold_a_frame_for_each_record(spark,
             records, plain = records + 1, plain + len(zstandard.compress(record))
         with pytest.raises(zstandard.ZstdError):
             zstandard.ZstdDecompressor().decompressobj().decompress(data[at:])
-    assert records == 400 and sorted(tuple(r)[:5] for r in read(spark, path)) == brute(rows)
+    assert records == 400 and sorted([tuple(r)[:5] for r in read(spark, path)], key=str) == brute(rows)
     assert sum(len(open(name, "rb").read()) for name in files) - 3 * (size + 8) < plain / 2
 
 
