@@ -110,7 +110,7 @@ def spi(spark, sf_dir):
 
 def gof_summary(spark, sf_dir):
     """Medians of the goodness of fit over cells."""
-    return stages.fit_medians(fitting.fit_cells(_acc(spark, sf_dir))).select(F.lit(P.scale).alias("scale_days"), "*")
+    return stages.fit_medians(materialize(fitting.fit_cells(_acc(spark, sf_dir)), "fits")).select(F.lit(P.scale).alias("scale_days"), "*")
 
 
 def log_scores(spark, sf_dir):

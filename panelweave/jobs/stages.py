@@ -27,6 +27,7 @@ from panelweave.config import (
     THRESHOLD_SENSITIVITY,
 )
 from panelweave.functions.lineage import materialize
+from panelweave.functions.quantiles import exact_quantiles
 from panelweave.operators import composite, derive, events, fitting, network, spatial, standardize, surrogate, sync
 from panelweave.sources.sinks import case_path, has_case, is_complete, north_up, read_stage, write_case, write_summary
 
@@ -35,14 +36,12 @@ CASES = tuple((scale, season) for scale, seasons in COMPOSITE_SEASONS.items() fo
 
 
 def fit_medians(fits: DataFrame) -> DataFrame:
-    """One row: valid cells and medians of zero fraction and goodness of fit over them."""
-    return fits.where("dist_id >= 0").agg(
-        F.count("*").alias("valid_cells"),
-        F.median("zero_fraction").alias("median_zero_fraction"),
-        F.median("ppcc").alias("median_selected_ppcc"),
-        F.median("ks_d_upper").alias("median_selected_ks_d"),
-        F.median("ad_a2").alias("median_selected_ad_a2"),
-    )
+    """One row: valid cells and exact medians of zero fraction and goodness of fit over them, however many there are."""
+    valid = fits.where("dist_id >= 0")
+    columns = {"zero_fraction": "median_zero_fraction", "ppcc": "median_selected_ppcc", "ks_d_upper": "median_selected_ks_d", "ad_a2": "median_selected_ad_a2"}
+    found = exact_quantiles(valid, list(columns), [0.5])
+    row = (valid.count(), *[found[c][0] for c in columns])
+    return fits.sparkSession.createDataFrame([row], ", ".join(["valid_cells long", *[f"{name} double" for name in columns.values()]]))
 
 
 def standardize_panel(panel: DataFrame, root: str, scales: tuple[int, ...] = SPI_SCALES, land: DataFrame | None = None) -> DataFrame:

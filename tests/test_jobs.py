@@ -17,6 +17,8 @@ def test_grids_become_panels(spark):
     assert sorted((r.node_id, r.lat, r.lon) for r in cells.collect()) == [(0, 20.0, 100.0), (1, 20.0, 100.5), (2, 21.0, 100.0), (3, 21.0, 100.5)]
     got = {(r.node_id, r.t): r.value for r in long.collect()}
     assert got == {(0, 0): 20, (1, 0): 20, (2, 0): 21, (3, 0): 21, (0, 1): 21, (1, 1): 21, (2, 1): None, (3, 1): None}
+    other = grids.to_panel(table, level=1)[1].where("value IS NOT NULL").collect()
+    assert {r.value for r in other} == {9.0} and len(other) == 8
     assert grids.variable_name(["time", "lat", "x", "time_bnds", "w500"]) == "w500"
     with pytest.raises(KeyError):
         grids.variable_name(["a", "b", "lat"])
