@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from panelweave.functions.lineage import materialize
 CHUNK_CHARS, LINE_CHARS, LINES = 4 << 20, 4000, 64
 #: A single space between visible characters.
 VISIBLE = "[!-~\u00c0-\u024f]"
-CUT, JOINED = re.compile(f"(?<={VISIBLE}) (?={VISIBLE})"), re.compile(f"{VISIBLE}(?s:.*{VISIBLE})?")
+CUT, EDGES = re.compile(f"(?<={VISIBLE}) (?={VISIBLE})"), frozenset(c for c in map(chr, range(0x250)) if re.match(VISIBLE, c))
+ID_AND_END = attrgetter("id", "end")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 #: Bits of a pair's number that hold the second tokenizer's id.
 ID_BITS = 32
@@ -92,7 +94,7 @@ class Aligner:
         """Words that are encoded together, a space between them: cuts hold there, too, if both ends of a word are visible."""
         lines, held, line = [], 0, []
         for k, w in enumerate(words):
-            if not (self.cuts and JOINED.fullmatch(w)):
+            if not (self.cuts and w and w[0] in EDGES and w[-1] in EDGES):
                 lines.append([k])
                 continue
             line.append(k)
@@ -111,8 +113,8 @@ class Aligner:
         spaced = [" " + t for t in texts]
         again = []
         for line, text, data, e, proto in zip(lines, texts, map(str.encode, spaced), self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1, return_type="proto"), strict=True):
-            pieces = proto.pieces
-            ids_a, ids_b = e.ids, [p.id for p in pieces]
+            rows_b = np.fromiter(chain.from_iterable(map(ID_AND_END, proto.pieces)), np.int64).reshape(-1, 2)  # a piece is wrapped anew each time it is read
+            ids_a, ids_b = e.ids, rows_b[:, 0].tolist()
             if b"".join(map(self.a_bytes.__getitem__, ids_a)) != data or b"".join(map(self.b_bytes.__getitem__, ids_b)) != data:
                 again += [[k] for k in line] if len(line) > 1 else []
                 continue
@@ -121,19 +123,19 @@ class Aligner:
                 points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
                 width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
                 spans_a = np.concatenate([[0], np.cumsum([1, *width])])[spans_a]
-            ends_b = np.array([0, *[p.end + 1 for p in pieces]], np.int64)  # behind the space that the tokenizer adds; spans are in bytes
-            ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+            ends_b = np.concatenate([[0], rows_b[:, 1] + 1])  # behind the space that the tokenizer adds; spans are in bytes
+            ids_a, ids_b = np.array(ids_a, np.int64), rows_b[:, 0]
             yield line, ids_a, refine(spans_a[:, 0], spans_a[:, 1], self.a_sizes[ids_a]), ids_b, refine(ends_b[:-1], ends_b[1:], self.b_sizes[ids_b])
         if again:
             yield from self.encode(words, again)
 
     def align(self, texts: list[str]) -> dict[str, list]:
         """Counts, groups and links of texts; links as places in the list of distinct pairs of all of them. A word that returns is encoded once."""
-        known: dict[str, int] = {}
         cut = [self.words(t) if t else [] for t in texts]
-        word = np.fromiter((known.setdefault(w, len(known)) for w in chain.from_iterable(cut)), np.int64)
+        words = [*dict.fromkeys(chain.from_iterable(cut))]
+        known = dict(zip(words, range(len(words)), strict=True))
         per_text = np.fromiter(map(len, cut), np.int64, len(cut))
-        words = [*known]
+        word = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, per_text.sum())
         lines = self._lines(words)
         found = [x for k in range(0, len(lines), LINES) for x in self.encode(words, lines[k : k + LINES])]
         # one byte axis for all words that are kept, one behind the other

@@ -140,6 +140,30 @@ def test_without_a_promise_of_the_vocabulary_texts_stay_whole(aligner):
     assert all(np.array_equal(np.concatenate(cut[c]) if c == "times" else cut[c], np.concatenate(whole[c]) if c == "times" else whole[c]) for c in ("n_a", "n_b", "n_groups", "n_links", "groups", "times"))
 
 
+def test_pieces_of_a_line_are_read_once(aligner):
+    read = []
+
+    class Pieces(list):
+        def __iter__(self):
+            read.append(1)
+            return super().__iter__()
+
+    class Proto:
+        def __init__(self, proto):
+            self.pieces = Pieces(proto.pieces)
+
+    class Encoder:
+        def encode(self, texts, **how):
+            return [Proto(x) for x in aligner.b.encode(texts, **how)]
+
+    own = alignment.Aligner.__new__(alignment.Aligner)
+    own.__dict__.update(aligner.__dict__, b=Encoder())
+    texts = ["plain words", "naïve 😀 text"]
+    assert own.align(texts)["groups"] == aligner.align(texts)["groups"]
+    lines = len(aligner._lines(list(dict.fromkeys(w for t in texts for w in aligner.words(t)))))
+    assert len(read) == lines
+
+
 def test_parts_of_characters_are_placed_by_decoded_bytes():
     # a character of four bytes in three tokens, whose spans are all of it, between two plain tokens
     begin, end, sizes = np.array([0, 2, 2, 2, 6]), np.array([2, 6, 6, 6, 9]), np.array([2, 1, 2, 1, 3])
