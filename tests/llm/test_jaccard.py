@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from util import frame
 
 from panelweave.llm import jaccard, simhash
@@ -76,3 +78,61 @@ def test_columns_of_any_name_and_very_long_texts(spark):
     docs = spark.createDataFrame([(*r, r[2], 7, r[2]) for r in rows], "doc_id long, text string, _own string, own string, _place int, place string")
     kept = sorted(map(tuple, jaccard.keep_first(docs).select("doc_id", "_own", "own", "_place", "place").collect()))
     assert kept == [(1, "mine", "mine", 7, "mine"), (4, "4", "4", 7, "4")]
+
+
+def family(rng, n):
+    """Texts of one template, each with edits of its own that single ones pass on: most are alike by 0.5 to 0.8, few are linked."""
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(150)], []
+    for k in range(n):
+        new = list(texts[rng.randrange(k)] if k and rng.random() < 0.7 else base)
+        for _ in range(rng.randint(2, 5)):
+            new[rng.randrange(150)] = f"w{rng.randrange(5000)}"
+        texts.append(new)
+    return [(7919 * k % 10007, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def test_checks_on_texts_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
+    checked, similar = [], jaccard._similar
+
+    def counted(pairs, *rest):
+        checked.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_similar", counted)
+    made = []
+    for n in (150, 450):
+        checked.clear()
+        rows = family(random.Random(31), n)
+        kept = jaccard.keep_first(frame(spark, rows))
+        assert Counter(r.doc_id for r in kept.collect()) == brute_firsts(rows)
+        made.append(sum(checked))
+    assert made[1] < 3 * 450 and made[1] < 5 * made[0]
+
+
+@pytest.mark.parametrize("size", [1, 4, 5, 40, 300, 1500])
+def test_pairs_at_08_pass_the_bounds_and_most_below_do_not(spark, size):
+    rng, rows, want = random.Random(size), [], set()
+    for k in range(40):
+        both = -(-8 * size // 10) - k % 2 * (size > 30) * size // 20  # the odd ones lie below
+        every = [f"s{rng.getrandbits(60)}" for _ in range(2 * size - both)]
+        cut = both + (len(every) - both + 1) // 2 if 10 * both < 8 * len(every) else len(every) - (len(every) - both) // 2
+        a, b = every[:cut], every[:both] + every[cut:]
+        if not b:
+            continue
+        rows += [(bytes([k, 0]), " ".join(a)), (bytes([k, 1]), " ".join(b))]
+        if jaccard.similarity(set(a), set(b)) >= 0.8:
+            want.add(k)
+    rare = jaccard._rarest(jaccard._shingled(spark.createDataFrame(rows, "same binary, text string"), 1), 0.8)
+    met = rare.alias("l").join(rare.alias("r"), "g").where("l.same < r.same").where(jaccard._enough("l", "r", 0.8))
+    got = {r.a[0] for r in met.selectExpr("l.same a", "r.same b").collect() if r.a[0] == r.b[0]}
+    assert want <= got
+    assert len(got) == len(want) or size > 300
+
+
+def test_odd_bits_never_differ_in_more_than_the_texts(spark):
+    rng = random.Random(8)
+    pairs = [[" ".join(f"s{rng.randrange(60)}" for _ in range(rng.randint(0, 80))) for _ in range(2)] for _ in range(30)]
+    rows = [(bytes([k, j]), t) for k, both in enumerate(pairs) for j, t in enumerate(both)]
+    odd = {bytes(r.same): np.array(r.odd).view(np.uint64) for r in jaccard._shingled(spark.createDataFrame(rows, "same binary, text string"), 2).collect()}
+    for k, (x, y) in enumerate(pairs):
+        assert np.bitwise_count(odd[bytes([k, 0])] ^ odd[bytes([k, 1])]).sum() <= len(jaccard.shingles(x, 2) ^ jaccard.shingles(y, 2))
